@@ -10,6 +10,26 @@ select n.doc_id, g.keep_id, cast(g.group_size as bigint) as group_size, n.doc_id
 from n join g on n.t = g.t
 """
 
+OP7 = """
+with lines as (
+  select doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+    from documents
+  )
+), often as (
+  select key, max(doc_id) as keeper from lines where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), marked as (
+  select l.doc_id, l.pos, l.line, o.key is not null and l.doc_id <> o.keeper as gone from lines l left join often o on l.key = o.key
+)
+select doc_id, count(*) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8}
+    return {"op7_line_dedup": OP7, "op8_exact_dedup": OP8}
