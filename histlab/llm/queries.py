@@ -23,6 +23,25 @@ def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, BASE),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("all")).alias("spans"),
+    )
+
+
 def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
