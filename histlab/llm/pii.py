@@ -108,6 +108,8 @@ _SHAPES = {
     "grouped": re.compile(r"[0-9]{4}(?:[ -]?[0-9]{4}){3}|[0-9]{13,19}"),
     "date": re.compile(r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}"),
 }
+#: What follows a segment that was ended too early.
+_GOES_ON = re.compile(r"\.[\w-]|(?i: ?(?:\[dot\]|\(dot\)|\{dot\}| dot ))|[ -]?[0-9]")
 _CUES = {
     "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax"},
     "email": {"mail", "email", "contact", "write", "reach"},
@@ -144,6 +146,8 @@ def span_features(text: str, tokens: list[Span], i: int, j: int) -> list[str]:
         out.append(f"joined-left:{text[start - 1].isalnum()}")
     if j < len(tokens) and tokens[j][0] == stop:
         out.append(f"joined-right:{text[stop].isalnum() or text[stop] in '-@'}")
+    if _GOES_ON.match(text, stop):
+        out.append("goes-on")
     before = {text[a:b].lower() for a, b in tokens[max(0, i - 4) : i]}
     out += [f"cue:{kind}" for kind, words in _CUES.items() if before & words]
     if not digits and "@" not in span and "shape:spelled" not in out:
