@@ -10,10 +10,13 @@ left.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -24,46 +27,85 @@ from .common import broadcast_if_small, map_batches, materialize
 WINDOW = 2048
 END_ID = 1
 
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED_WORDS = 250_000
+#: Words whose ids a worker remembers, and stems of words; beyond, only those of the latest texts stay.
+REMEMBERED_WORDS = 400_000
+REMEMBERED_STEMS = 250_000
 
-FLUSH_BYTES = 8 << 20
+#: Characters that are encoded together and sent on.
+FLUSH_CHARS = 2 << 20
+
+#: A word of letters with marks behind it, which the tokenizer takes apart at just that place.
+_PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
     """Encodes word by word with a cache.
 
-    For tokenizers that drop white space, ids of a text are the ids of its words in turn:
-    no pre-token, special token or composed character crosses ASCII white space.
+    For tokenizers that drop white space and case, ids of a text are the ids of its words in
+    turn: no pre-token, special token or composed character crosses ASCII white space. Words
+    met for the first time are encoded together, and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _word(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self.new) >= REMEMBERED_WORDS:
-                self.old, self.new = self.new, {}
-            self.new[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        get, slow = self.new.get, self._word
-        out = []
-        for word in text.encode().split():
-            ids = get(word)
-            if ids is None:
-                ids = slow(word)
-                get = self.new.get
-            out.append(ids)
-        return b"".join(out)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, stems: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are letters only and in composed form."""
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(stems), 5000):
+            part = stems[at : at + 5000]
+            ids = self._ids(b" ".join(part).decode())
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                data, start = ids.tobytes(), 0
+                for stem, stop in zip(part, (stops * 4).tolist(), strict=True):
+                    out[stem] = data[start:stop]
+                    start = stop
+            else:  # a word that is more than one pre-token: one by one
+                out |= {stem: self._ids(stem.decode()).tobytes() for stem in part}
+        return out
+
+    def _add(self, words: set[bytes]) -> None:
+        """Remember words that are new."""
+        known, stems, plain, fresh = self.words, self.stems, [], set()
+        for word in words:
+            m = _PLAIN.fullmatch(word) if len(word) <= 64 else None
+            if m and (word.isascii() or ((s := m[1].decode()).isalpha() and is_normalized("NFC", s))):
+                stem, marks = m.groups()
+                plain.append((word, stem, marks))
+                if stem not in stems:
+                    fresh.add(stem)
+                if marks not in stems:
+                    stems[marks] = self._ids(marks.decode()).tobytes()
+            else:
+                known[word] = self._ids(word.decode()).tobytes()
+        stems |= self._learn(list(fresh))
+        for word, stem, marks in plain:
+            known[word] = stems[stem] + stems[marks] if marks else stems[stem]
+        if len(stems) > REMEMBERED_STEMS:
+            self.stems = {b"": b""} | {stem: stems[stem] for _, stem, _ in plain}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        # Lower-casing A-Z changes no id, but could make a special token of what is none.
+        split = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
+        met = set().union(*split)
+        self._add(met.difference(self.words))
+        get = self.words.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words = {word: get(word) for word in met}
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -76,29 +118,22 @@ def tokens_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer_path).encode, array("I", [end_id]).tobytes()
+        encoder, end = word_encoder(tokenizer_path), array("I", [end_id]).tobytes()
         part, before = TaskContext.get().partitionId(), 0
-
-        def batch(ids, rows):
-            n = len(rows)
-            counts = [len(r) // 4 for r in rows]
-            starts, total = [], before
-            for c in counts:
-                starts.append(total)
-                total += c
-            names = ["part", "before", "id", "n", "ids"]
-            arrays = [pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), ids, pa.array(counts, pa.int64()), pa.array(rows, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=names), total
-
         for got in batches:
-            at, rows, size = 0, [], 0
+            at, texts, size = 0, [], 0
             for i, text in enumerate(got.column(1)):
-                rows.append(encode(text.as_py() or "") + end)
-                size += len(rows[-1])
-                if size >= FLUSH_BYTES or i + 1 == got.num_rows:
-                    out, before = batch(got.column(0).slice(at, i + 1 - at), rows)
-                    yield out
-                    at, rows, size = i + 1, [], 0
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size < FLUSH_CHARS and i + 1 < got.num_rows:
+                    continue
+                rows = [ids + end for ids in encoder.encode_all(texts)]
+                counts = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
+                starts = before + np.cumsum(counts) - counts
+                before += int(counts.sum())
+                arrays = [pa.array(np.full(len(rows), part, np.int32)), pa.array(starts), got.column(0).slice(at, len(rows)), pa.array(counts), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "before", "id", "n", "ids"])
+                at, texts, size = i + 1, [], 0
 
     return map_batches(docs.select(id_col, text_col), run, f"part int, before long, id {kind}, n long, ids binary")
 

@@ -17,6 +17,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("terms")
+
+
 def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
