@@ -11,13 +11,13 @@ left.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,83 +29,110 @@ END_ID = 1
 
 #: Words whose ids a worker remembers, and stems of words; beyond, only those of the latest texts stay.
 REMEMBERED_WORDS = 400_000
-REMEMBERED_STEMS = 250_000
+REMEMBERED_STEMS = 400_000
 
-#: Characters that are encoded together and sent on.
-FLUSH_CHARS = 2 << 20
+#: Bytes of text that are encoded together and sent on.
+FLUSH_BYTES = 4 << 20
 
 #: A word of letters with marks behind it, which the tokenizer takes apart at just that place.
 _PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
+#: The start of a special token, or a mark that can join with a letter before it.
+_NO_LOWER = r"<\||[\x{300}-\x{36f}]"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level tokenizers write for each byte but the space."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others) if b != 32}
+
 
 class WordEncoder:
-    """Encodes word by word with a cache.
+    """Encodes word by word with a cache, for tokenizers that drop white space and case.
 
-    For tokenizers that drop white space and case, ids of a text are the ids of its words in
-    turn: no pre-token, special token or composed character crosses ASCII white space. Words
-    met for the first time are encoded together, and told apart by the tokens that end a word.
+    The ids of a text are then those of its words in turn: no pre-token, special token or
+    composed character crosses ASCII white space. Words of lower-case letters in composed
+    form need no normalising; what is new of them goes to the tokenizer's model together,
+    and is told apart by the tokens that end a word. All other words go to the whole
+    tokenizer one by one.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
+        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+        self.words: dict[bytes, bytes] = {b"": b""}
         self.stems: dict[bytes, bytes] = {b"": b""}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, stems: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are letters only and in composed form."""
+        """Ids of words that are lower-case letters only and in composed form."""
         out: dict[bytes, bytes] = {}
-        for at in range(0, len(stems), 5000):
-            part = stems[at : at + 5000]
-            ids = self._ids(b" ".join(part).decode())
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                data, start = ids.tobytes(), 0
-                for stem, stop in zip(part, (stops * 4).tolist(), strict=True):
-                    out[stem] = data[start:stop]
-                    start = stop
-            else:  # a word that is more than one pre-token: one by one
-                out |= {stem: self._ids(stem.decode()).tobytes() for stem in part}
+        for at in range(0, len(stems), 2000):
+            part = stems[at : at + 2000]
+            line = b" ".join(part).decode("latin-1").translate(self.letters)
+            ids = np.array(self.bare.encode(line, add_special_tokens=False).ids, "<u4")
+            data, start = ids.tobytes(), 0
+            for stem, stop in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                out[stem] = data[start:stop]
+                start = stop
         return out
 
-    def _add(self, words: set[bytes]) -> None:
+    def _add(self, words: list[bytes]) -> None:
         """Remember words that are new."""
         known, stems, plain, fresh = self.words, self.stems, [], set()
         for word in words:
             m = _PLAIN.fullmatch(word) if len(word) <= 64 else None
-            if m and (word.isascii() or ((s := m[1].decode()).isalpha() and is_normalized("NFC", s))):
+            if m and (word.isascii() or ((s := m[1].decode()).isalpha() and s.islower() and s == s.lower() and is_normalized("NFC", s))):
                 stem, marks = m.groups()
                 plain.append((word, stem, marks))
                 if stem not in stems:
                     fresh.add(stem)
                 if marks not in stems:
-                    stems[marks] = self._ids(marks.decode()).tobytes()
+                    stems[marks] = self._ids(marks.decode())
             else:
-                known[word] = self._ids(word.decode()).tobytes()
+                known[word] = self._ids(word.decode())
         stems |= self._learn(list(fresh))
         for word, stem, marks in plain:
             known[word] = stems[stem] + stems[marks] if marks else stems[stem]
         if len(stems) > REMEMBERED_STEMS:
             self.stems = {b"": b""} | {stem: stems[stem] for _, stem, _ in plain}
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        # Lower-casing A-Z changes no id, but could make a special token of what is none.
-        split = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
-        met = set().union(*split)
-        self._add(met.difference(self.words))
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words = {word: get(word) for word in met}
-        return out
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
+        """The ids of each text with the end id, as little-endian unsigned 32-bit; and their numbers."""
+        # Lower-casing A-Z changes no id, unless it makes a special token or a composed letter of what is none.
+        texts = pc.if_else(pc.match_substring_regex(texts, _NO_LOWER), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = pc.list_flatten(split).dictionary_encode()
+        met, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        known = self.words
+        self._add([word for word in met if word not in known])
+        ids = list(map(known.__getitem__, met))
+        if len(known) > REMEMBERED_WORDS:
+            self.words = {b"": b""} | dict(zip(met, ids, strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        word_sizes = sizes[codes]
+        n_words = pc.list_value_length(split).to_numpy().astype(np.int64)
+        word_ends = np.cumsum(word_sizes)
+        total = int(word_ends[-1]) if len(word_ends) else 0
+        text_of = np.repeat(np.arange(len(texts)), n_words)
+        out = np.empty(total + len(texts), "<u4")
+        place = np.arange(total)
+        out[place + np.repeat(text_of, word_sizes)] = flat[place + np.repeat(starts[codes] - word_ends + word_sizes, word_sizes)]
+        ends = np.concatenate(([0], word_ends))[np.cumsum(n_words)] + np.arange(1, len(texts) + 1)
+        out[ends - 1] = end_id
+        offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+        return packed, np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -113,27 +140,36 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about FLUSH_BYTES, or of one row if that is longer."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        lengths = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)).astype(np.int64)
+        at = 0
+        for i, length in enumerate(lengths.tolist()):
+            size += length
+            if size >= FLUSH_BYTES:
+                yield pa.concat_batches([*held, batch.slice(at, i + 1 - at)])
+                held, size, at = [], 0, i + 1
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokens_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """First pass: part, before (ids before the document in its part), id, n, ids."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer_path), array("I", [end_id]).tobytes()
-        part, before = TaskContext.get().partitionId(), 0
-        for got in batches:
-            at, texts, size = 0, [], 0
-            for i, text in enumerate(got.column(1)):
-                texts.append(text.as_py() or "")
-                size += len(texts[-1])
-                if size < FLUSH_CHARS and i + 1 < got.num_rows:
-                    continue
-                rows = [ids + end for ids in encoder.encode_all(texts)]
-                counts = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
-                starts = before + np.cumsum(counts) - counts
-                before += int(counts.sum())
-                arrays = [pa.array(np.full(len(rows), part, np.int32)), pa.array(starts), got.column(0).slice(at, len(rows)), pa.array(counts), pa.array(rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["part", "before", "id", "n", "ids"])
-                at, texts, size = i + 1, [], 0
+        encoder, part, before = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        for got in _parts(batches):
+            ids, counts = encoder.encode_all(pc.fill_null(got.column(1).cast(pa.string()), ""), end_id)
+            starts = before + np.cumsum(counts) - counts
+            before += int(counts.sum())
+            arrays = [pa.array(np.full(len(counts), part, np.int32)), pa.array(starts), got.column(0), pa.array(counts), ids]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "before", "id", "n", "ids"])
 
     return map_batches(docs.select(id_col, text_col), run, f"part int, before long, id {kind}, n long, ids binary")
 
