@@ -29,6 +29,13 @@ def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+    from .toxicity import fold
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=fold("doc_id") == 0)
+
+
 def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE, find_pii
 
@@ -54,6 +61,12 @@ def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
+def op6_grouped_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingle_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 

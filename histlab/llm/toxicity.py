@@ -32,7 +32,7 @@ GENERAL_TERMS = ("dumbass", "idiot", "imbecile", "moron", "scumbag")
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 #: Words and stems that are considered for the lexicon, by toxic documents.
 MAX_CANDIDATES = 600
-MIN_DOCS, MIN_SHARE, MIN_LIFT = 3, 0.01, 20.0
+MIN_DOCS, MIN_SHARE, MIN_LIFT = 3, 0.01, 50.0
 STEM_LETTERS = (4, 5, 6, 7)
 #: A toxic document is told by this many terms at most when the lexicon is chosen.
 COVERS = 3
