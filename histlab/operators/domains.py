@@ -28,10 +28,15 @@ def domain_counts(history: DataFrame, domain: Column) -> DataFrame:
     )
 
 
+def with_host(history: DataFrame) -> DataFrame:
+    """``history`` with the parsed host in lower case. A step of its own, so that what builds on it names a column."""
+    return history.withColumn("_p", parsed(F.col("url"))).withColumn("host", ascii_lower(F.col("_p.host"))).drop("_p")
+
+
 def registrable(history: DataFrame) -> DataFrame:
     """``history`` with its registrable domain and full host."""
-    info = domain_info(parsed(F.col("url"))["host"])
-    return history.withColumn("_i", info).withColumns({"registrable_domain": F.col("_i.registrable_domain"), "full_host": F.col("_i.full_host")}).drop("_i")
+    df = with_host(history).withColumn("_i", domain_info(F.col("host")))
+    return df.withColumns({"registrable_domain": F.col("_i.registrable_domain"), "full_host": F.col("_i.full_host")}).drop("_i", "host")
 
 
 def top_domains(history: DataFrame, k: int = 15, legacy: bool = False) -> DataFrame:
@@ -50,21 +55,21 @@ def rollup(history: DataFrame, host: Column | None = None) -> DataFrame:
     Counts are summed per exact domain before the suffixes are exploded, so what is shuffled
     grows with distinct domains, not with rows.
     """
-    exact = domain_counts(history, ascii_lower(parsed(F.col("url"))["host"]) if host is None else host)
+    exact = domain_counts(with_host(history), F.col("host")) if host is None else domain_counts(history, host)
     below = exact.select(F.explode(suffixes(F.col("domain"))).alias("suffix"), "url_count", "visit_count")
     return below.groupBy("suffix").agg(F.sum("url_count").alias("url_count"), F.sum("visit_count").alias("visit_count"))
 
 
 def lookup(history: DataFrame, domain: str) -> DataFrame:
     """url_count and visit_count of exactly this domain; no row where it does not occur."""
-    host = ascii_lower(parsed(F.col("url"))["host"])
-    return domain_counts(history.where(host == domain.lower()), host).select("domain", "url_count", "visit_count")
+    host = F.col("host")
+    return domain_counts(with_host(history).where(host == domain.lower()), host).select("domain", "url_count", "visit_count")
 
 
 def aggregate(history: DataFrame, domain: str) -> DataFrame:
     """url_count and visit_count of a domain with all its subdomains; -1 where there is none."""
-    host = ascii_lower(parsed(F.col("url"))["host"])
-    own = history.where((host == domain.lower()) | host.endswith("." + domain.lower()))
+    host = F.col("host")
+    own = with_host(history).where((host == domain.lower()) | host.endswith("." + domain.lower()))
     return own.agg(
         F.when(F.count("*") > 0, F.count("*")).otherwise(-1).alias("url_count"), F.coalesce(F.sum("visit_count"), F.lit(-1)).cast("long").alias("visit_count")
     ).withColumn("domain", F.lit(domain))

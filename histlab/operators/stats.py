@@ -28,7 +28,8 @@ def history_stats(history: DataFrame) -> DataFrame:
 
 def unique_hosts(history: DataFrame) -> DataFrame:
     """One row: distinct hosts, in lower case, without port and userinfo."""
-    host = F.lower(parsed(F.col("url"))["host"])
+    history = history.withColumn("_p", parsed(F.col("url"))).withColumn("_host", F.lower("_p.host"))
+    host = F.col("_host")
     return history.agg(F.countDistinct(F.when(host != "", host)).alias("unique_hosts"))
 
 
