@@ -14,7 +14,7 @@ and no pair inside one is needed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ PERCENT = 80
 #: The frequent shingles that are put last are at most this many, so they can be sent to all tasks.
 MAX_FREQUENT = 1_000_000
 #: A shingle is frequent from this many prefixes on, or from more where they are too many.
-FREQUENT = 200
+FREQUENT = 50
 #: Share by which prefixes are longer when frequent shingles are counted.
 MARGIN = 0.25
 
@@ -98,8 +98,13 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def frequent_shingles(docs: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted short hashes of shingles frequent in prefixes by hash, and their counts, over all documents of (text)."""
+def _is_frequent(shorts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(frequent, shorts), len(frequent) - 1)
+    return frequent[at] == shorts
+
+
+def _counted(docs: DataFrame, width: int, choose: Callable[[np.ndarray], np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted short hashes, among those that ``choose`` takes of each set, that are frequent; and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -111,9 +116,10 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int) -> tuple[np.nda
 
         for batch in batches:
             for found in shingle_sets(pc.fill_null(batch.column(0), ""), width):
-                low = _short(found[: int((1 + MARGIN) * prefix_length(len(found), percent)) + 1])
-                held.append(np.unique(low))
-                size += len(low)
+                chosen = choose(found)
+                if chosen is not None:
+                    held.append(np.unique(chosen))
+                    size += len(chosen)
             if size >= COUNT_TOKENS:
                 yield counted()
                 held, size = [], 0
@@ -132,42 +138,71 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int) -> tuple[np.nda
     return shorts[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def ordered_prefix(found: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles by the global order: rare ones by hash, then frequent ones by count and hash."""
+def frequent_shingles(docs: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted short hashes of frequent shingles, and their counts, over all documents of (text).
+
+    First the shingles in prefixes by hash are counted. A document whose prefix reaches beyond
+    what was counted, because too much of it is frequent, then has all of its shingles counted;
+    so every shingle that near copies or shared passages bring into prefixes is known.
+    """
+
+    def zone(found: np.ndarray) -> np.ndarray:
+        return _short(found[: int((1 + MARGIN) * prefix_length(len(found), percent)) + 1])
+
+    first, first_counts = _counted(docs, width, zone)
+    if not len(first):
+        return first, first_counts
+
+    def whole(found: np.ndarray) -> np.ndarray | None:
+        low = zone(found)
+        enough = len(low) - _is_frequent(low, first).sum() >= prefix_length(len(found), percent)
+        return None if enough else _short(found)
+
+    second, second_counts = _counted(docs, width, whole)
+    shorts, place = np.unique(np.concatenate([first, second]), return_inverse=True)
+    counts = np.zeros(len(shorts), np.int64)
+    np.maximum.at(counts, place, np.concatenate([first_counts, second_counts]))
+    return shorts, counts
+
+
+def ordered_prefix(found: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles by the global order (rare ones by hash, then frequent ones by count and
+    hash), and how many rare ones the whole set has."""
     length = prefix_length(len(found), percent)
     if len(frequent):
         shorts = _short(found)
-        at = np.minimum(np.searchsorted(frequent, shorts), len(frequent) - 1)
-        often = frequent[at] == shorts
+        often = _is_frequent(shorts, frequent)
         if often.any():
-            rare = found[~often]
-            if len(rare) < length:
-                rest, n = found[often], counts[at[often]]
-                rare = np.concatenate([rare, rest[np.lexsort((rest, n))]])
-            return rare[:length]
-    return found[:length]
+            first = found[~often]
+            n_rare = len(first)
+            if n_rare < length:
+                rest, n = found[often], counts[np.searchsorted(frequent, shorts[often])]
+                first = np.concatenate([first, rest[np.lexsort((rest, n))]])
+            return first[:length], n_rare
+    return found[:length], len(found)
 
 
 def described(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """From (id, text): id, n, the digest of the set (s1, s2), of the prefix (p1, p2), and the prefix."""
+    """From (id, text): id, n, rare, the digests of the set (s1, s2) and of prefix and rare (p1, p2), and the prefix."""
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["id", "n", "s1", "s2", "p1", "p2", "prefix"]
+    names = ["id", "n", "rare", "s1", "s2", "p1", "p2", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, rares, digests, prefixes = [], [], [], []
             for found in shingle_sets(pc.fill_null(batch.column(1), ""), width):
-                prefix = ordered_prefix(found, percent, frequent, counts)
+                prefix, rare = ordered_prefix(found, percent, frequent, counts)
                 sizes.append(len(found))
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()) + xxhash.xxh3_128_digest(prefix.tobytes()))
+                rares.append(rare)
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()) + xxhash.xxh3_128_digest(prefix.tobytes(), seed=rare))
                 prefixes.append(prefix.view(np.int64))
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 4)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            arrays = [batch.column(0), pa.array(np.array(sizes, np.int64)), *(pa.array(halves[:, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            arrays = [batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(np.array(rares, np.int64)), *(pa.array(halves[:, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return map_batches(docs, run, f"id {kind}, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+    return map_batches(docs, run, f"id {kind}, n long, rare long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
 
 
 def stored_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -215,6 +250,15 @@ def _needed(n: str, m: str, percent: int):
     return F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent) - 1e-9)
 
 
+def _common_enough(n: str, rare: str, m: str, rare_m: str, percent: int):
+    """For sets that meet in a frequent shingle: whether their frequent ones alone can be enough.
+
+    A prefix that reaches the frequent shingles holds all rare ones of its set. So if two such
+    sets share a rare one, they meet there too; if not, only frequent ones are left to share.
+    """
+    return F.least(F.col(n) - F.col(rare), F.col(m) - F.col(rare_m)) >= _needed(n, m, percent)
+
+
 def prefix_filter(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of groups whose prefixes overlap enough for the sets to be similar.
 
@@ -243,21 +287,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialize(described(docs, width, percent, frequent, counts), "join-rows")
 
     # Equal sets are one class.
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix"))
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("rare").alias("rare"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "join-classes")
     # Equal prefixes and sizes are one group, headed by its most copied class.
-    groups = classes.groupBy("p1", "p2", "n").agg(F.max(F.struct("copies", (-F.col("cid")).alias("less"))).alias("head"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    groups = materialize(groups.select((-F.col("head.less")).alias("gid"), "p1", "p2", "n", "members", F.col("head.copies").alias("copies"), "prefix"), "join-groups")
+    groups = classes.groupBy("p1", "p2", "n").agg(F.max(F.struct("copies", (-F.col("cid")).alias("less"))).alias("head"), F.count("*").alias("members"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    groups = materialize(groups.select((-F.col("head.less")).alias("gid"), "p1", "p2", "n", "rare", "members", F.col("head.copies").alias("copies"), "prefix"), "join-groups")
     crowded = groups.where("members > 1").select("gid", "p1", "p2", "n")
     member = materialize(classes.select("cid", "p1", "p2", "n").join(crowded, ["p1", "p2", "n"]).select("gid", "cid").where("cid <> gid"), "join-members")
 
-    # Postings that meet another group in their shingle; the most copied group is the list's pivot.
-    postings = groups.select("gid", "n", "copies", F.size("prefix").alias("length"), F.posexplode("prefix").alias("at", "token"))
+    # Postings that meet another group in their shingle. The list's pivot is the group with the
+    # fewest rare shingles: near copies are told from what they were made of by those.
+    postings = groups.select("gid", "n", "rare", "copies", F.posexplode("prefix").alias("at", "token"))
     of = Window.partitionBy("token")
-    lists = postings.withColumn("pivot", F.max(F.struct("copies", (-F.col("gid")).alias("less"), "n")).over(of)).withColumn("size", F.count("*").over(of))
-    met = materialize(lists.where("size > 1").select("token", "gid", "n", "at", (-F.col("pivot.less")).alias("pivot"), F.col("pivot.n").alias("pivot_n")), "join-met")
+    order = F.struct((-F.col("rare")).alias("common"), "copies", (-F.col("gid")).alias("less"), "n")
+    lists = postings.withColumn("pivot", F.max(order).over(of)).withColumn("size", F.count("*").over(of))
+    pivot = [(-F.col("pivot.less")).alias("pivot"), F.col("pivot.n").alias("pivot_n"), (-F.col("pivot.common")).alias("pivot_rare")]
+    met = materialize(lists.where("size > 1").select("token", "gid", "n", "rare", "at", *pivot), "join-met")
 
     stars = met.where(F.col("gid") != F.col("pivot")).where(_similar_sizes("n", "pivot_n", percent))
+    stars = stars.where((F.col("at") < F.col("rare")) | _common_enough("n", "rare", "pivot_n", "pivot_rare", percent))
     stars = materialize(prefix_filter(stars.select(F.col("pivot").alias("a"), F.col("gid").alias("b")).distinct(), groups, percent), "join-stars")
     first = stars.unionByName(member.select(F.col("gid").alias("a"), F.col("cid").alias("b")))
     sets = stored_sets(docs, classes, first.select(F.col("a").alias("cid")).unionByName(first.select(F.col("b").alias("cid"))), width)
@@ -291,7 +339,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _rest(met: DataFrame, groups: DataFrame, member: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes with different labels that the prefixes allow to be similar."""
     names = label.select(F.col("node").alias("gid"), F.col("root"))
-    labelled = met.select("token", "gid", "n", "at").join(names, "gid", "left").withColumn("label", F.coalesce("root", "gid")).drop("root")
+    labelled = met.select("token", "gid", "n", "rare", "at").join(names, "gid", "left").withColumn("label", F.coalesce("root", "gid")).drop("root")
     # Members not linked with their head have labels of their own, so their groups count as mixed.
     of_member = member.join(label.select(F.col("node").alias("cid"), F.col("root")), "cid", "left").select("gid", "cid", F.coalesce("root", "cid").alias("label"))
     heads = member.select("gid").distinct().join(names, "gid", "left").select("gid", F.col("gid").alias("cid"), F.coalesce("root", "gid").alias("label"))
@@ -304,12 +352,16 @@ def _rest(met: DataFrame, groups: DataFrame, member: DataFrame, label: DataFrame
     labelled = labelled.join(tokens.where("lo < hi or mixed").select("token"), "token")
     # The larger set lies in the size band of the smaller one or in the next.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    left = labelled.select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("label").alias("la"), F.col("mixed").alias("xa"), F.explode(F.array(band, band + 1)).alias("band"))
-    right = labelled.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("label").alias("lb"), F.col("mixed").alias("xb"), band.alias("band"))
+    frequent = F.col("at") >= F.col("rare")
+    # Where only frequent shingles are shared, the smaller set can't have more rare ones than this.
+    few = F.col("rare") * (100 + percent) <= F.col("n") * (100 - percent)
+    left = labelled.where(~frequent | few).select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("rare").alias("ra"), F.col("at").alias("ia"), F.col("label").alias("la"), F.col("mixed").alias("xa"), F.explode(F.array(band, band + 1)).alias("band"))
+    right = labelled.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("at").alias("ib"), F.col("label").alias("lb"), F.col("mixed").alias("xb"), band.alias("band"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     different = (F.col("la") != F.col("lb")) | F.col("xa") | F.col("xb")
     bound = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    pairs = left.join(right, ["token", "band"]).where(ordered & different & _similar_sizes("na", "nb", percent) & (bound >= _needed("na", "nb", percent)))
+    enough = (F.col("ia") < F.col("ra")) | _common_enough("na", "ra", "nb", "rb", percent)
+    pairs = left.join(right, ["token", "band"]).where(ordered & different & enough & _similar_sizes("na", "nb", percent) & (bound >= _needed("na", "nb", percent)))
     pairs = prefix_filter(pairs.select("a", "b").distinct(), groups, percent)
     # Expand the groups to their members, and mixed groups with themselves.
     alone = lambda x: F.col(f"c{x}").isNull()
