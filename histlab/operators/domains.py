@@ -42,11 +42,15 @@ def registrable(history: DataFrame) -> DataFrame:
 def top_domains(history: DataFrame, k: int = 15, legacy: bool = False) -> DataFrame:
     """The k registrable domains with most visits, the first met first among equals.
 
-    ``legacy`` ranks by the number of URLs instead.
+    ``legacy`` ranks by the number of URLs instead, and takes equals in the order of a tree
+    of reversed labels: by when the last label was first met, then the domain.
     """
     counts = domain_counts(registrable(history), F.col("registrable_domain"))
-    by = "url_count" if legacy else "visit_count"
-    return counts.orderBy(F.desc(by), "first_pos").limit(k)
+    if not legacy:
+        return counts.orderBy(F.desc("visit_count"), "first_pos").limit(k)
+    counts = counts.withColumn("_last", F.element_at(labels(F.col("domain")), -1))
+    met = counts.groupBy("_last").agg(F.min("first_pos").alias("_met"))
+    return counts.join(met, "_last").orderBy(F.desc("url_count"), "_met", "first_pos").limit(k).drop("_last", "_met")
 
 
 def rollup(history: DataFrame, host: Column | None = None) -> DataFrame:

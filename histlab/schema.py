@@ -19,11 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """``df`` in the history schema; columns that it lacks are null."""
+def conform(df: DataFrame, *extra: str) -> DataFrame:
+    """``df`` in the history schema; columns that it lacks are null. ``extra`` columns stay behind."""
     have = set(df.columns)
     fields = (f.split() for f in HISTORY.split(", "))
-    return df.select(*((F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in fields))
+    return df.select(*((F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in fields), *extra)
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
