@@ -159,7 +159,7 @@ def _search(terms: list[tuple[str, str, str]], condition: str, extra: str = "tru
     named = {f"m{i}": f"({'not ' if neg else ''}(({a}) or ({b})))" for i, (a, b, neg) in enumerate(terms)}
     for name, test in named.items():
         condition = condition.replace(name, test)
-    return f"""with {H}, a as (select *, (epoch(cast({NOW} as timestamp)) - floor(epoch(last_visit))) // 86400 as age, {SEARCH_HOST} as host from h),
+    return f"""with {H}, a as (select *, (cast(epoch({NOW}) as bigint) - cast(floor(epoch(last_visit)) as bigint)) // 86400 as age, {SEARCH_HOST} as host from h),
 f as (select *, ({u}) as url_hit, ({t}) as title_hit, {count} as match_count from a where ({extra}) and ({condition}))
 select pos, url_hit, title_hit, match_count, {_score('url_hit', 'title_hit')} as score from f"""
 
