@@ -281,4 +281,8 @@ def oracle_sql() -> dict[str, str]:
     out["session_stats"] = f"""with {_sessions('events', 'user_id', 'ts', 'event_id', 43200)} select count(*) as total_sessions, cast(sum(page_count) as bigint) as total_pages, avg(minutes) as avg_minutes,
       avg(tab_count) as avg_tabs, max(minutes) as longest_minutes, first(user_id order by minutes desc, user_id, session_no) as longest_user_id, first(session_no order by minutes desc, user_id, session_no) as longest_session_no,
       first(user_id order by user_id, session_no) as most_tabs_user_id, first(session_no order by user_id, session_no) as most_tabs_session_no from g"""
+    out["csv_import"] = f"with {H} select url, rtrim(title) as title, visit_count, typed_count, when_text as last_visit_time, date_trunc('second', last_visit) as last_visit from h"
+    out["bookmark_import"] = f"with {H} select url, trim(title) as title, 1 as visit_count, when_text as last_visit_time from h"
+    out["json_import"] = f"with {H} select url, title, visit_count, typed_count, when_text as last_visit_time from h"
+    out["stream_capture"] = "select event_id, 'https://a.com/' || event_type as url, user_id % 2 = 0 as incognito from events where event_type not in ('view', 'error')"
     return out

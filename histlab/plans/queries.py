@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import times, urls, web
 from ..functions.text import contains_nocase, glob_match
 from ..operators import domains, rules, search, sessions, sets, stats, tabs
-from ..schema import EVENT_KINDS, history, read, visits
+from ..schema import EVENT_KINDS, history, read, shared_folder, visits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -401,6 +401,72 @@ def tab_state_machine(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("transitions", F.to_json("transitions"))
 
 
+# Files and streams.
+
+
+def csv_import(spark: SparkSession, d: str) -> DataFrame:
+    """The history exported as CSV files and imported again."""
+    from ..sinks.exports import write_csv_parts
+    from ..sources.csv_files import read_csv
+
+    path = shared_folder(spark, "csv")
+    write_csv_parts(_h(spark, d), path)
+    return read_csv(spark, path).select("url", "title", "visit_count", "typed_count", "last_visit_time", "last_visit")
+
+
+def bookmark_import(spark: SparkSession, d: str) -> DataFrame:
+    """The history written as bookmark files and imported again."""
+    from ..sources.bookmarks import read_bookmarks
+
+    path = shared_folder(spark, "bookmarks")
+    seconds = F.unix_timestamp(F.col("last_visit").cast("timestamp")).cast("string")
+    link = F.concat(F.lit('<DT><A HREF="'), web.html_escape(F.col("url")), F.lit('" ADD_DATE="'), seconds, F.lit('">'), web.html_escape(F.col("title")), F.lit("</A>"))
+    _h(spark, d).select(link.alias("value")).write.text(path)
+    return read_bookmarks(spark, path).select("url", "title", "visit_count", "last_visit_time")
+
+
+def json_import(spark: SparkSession, d: str) -> DataFrame:
+    """The history written as one JSON export per page, and imported again."""
+    from ..functions.times import iso_of_timestamp
+    from ..sources.extension_json import read_json
+
+    path = shared_folder(spark, "json")
+    row = F.struct("url", "title", "visit_count", "typed_count", iso_of_timestamp(F.col("last_visit")).alias("last_visit_time"))
+    _h(spark, d).select(F.to_json(F.struct(F.lit(True).alias("success"), F.array(row).alias("data"))).alias("value")).write.text(path)
+    return read_json(spark, path, lines=True).select("url", "title", "visit_count", "typed_count", "last_visit_time")
+
+
+def stream_capture(spark: SparkSession, d: str) -> DataFrame:
+    """The synthetic stream through the capture filter into a log, as a stream; then the log."""
+    from ..streaming.capture import captured, write_log
+
+    path, checkpoint = shared_folder(spark, "log"), shared_folder(spark, "log-checkpoint")
+    schema = read(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern may name a single file
+    kind = F.when(F.col("event_type") == "view", "chrome://newtab").otherwise(F.concat(F.lit("https://a.com/"), "event_type"))
+    shaped = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("url"), (F.col("user_id") % 2 == 0).alias("incognito"), F.when(F.col("event_type") == "error", "loading").otherwise("complete").alias("status"))
+    write_log(captured(shaped), path, checkpoint, available_now=True).awaitTermination()
+    return spark.read.parquet(path).select("event_id", "url", "incognito")
+
+
+def stream_tab_machine(spark: SparkSession, d: str) -> DataFrame:
+    """The state machine as a stream over the tab events; each session as its last update leaves it."""
+    from ..streaming.sessions import stream_tab_sessions
+
+    source, path, checkpoint = (shared_folder(spark, x) for x in ("tab-events", "tab-sessions", "tab-checkpoint"))
+    tab_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    stream = stream_tab_sessions(events).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("user_id", "session_no").agg(F.max_by(F.struct("start_us", "end_us", "page_count", "state"), F.struct("batch", "end_us", "page_count")).alias("s"))
+    return last.select("user_id", "session_no", "s.*")
+
+
 def queries() -> dict[str, Query]:
     own = [
         history_view, url_parts, registrable_domain, hosts, host_kind, url_normalize, url_round_trip, query_params, percent_codes, utf8_valid,
@@ -409,7 +475,7 @@ def queries() -> dict[str, Query]:
         consecutive_dedup, last_n, last_n_per_user, scan_order, capture_filter, http_only, csv_row_filter, history_query, popup_search, metadata_asof,
         categorize, categorize_builtin, category_stats, substring_categories, substring_category_stats, glob_paths, domain_patterns, rules_table,
         domain_topk, host_topk, domain_rollup, domain_lookup, domain_aggregate, unique_domains, search_ranked, history_sessions, session_stats,
-        session_window_builtin, tab_state_machine,
+        session_window_builtin, tab_state_machine, csv_import, bookmark_import, json_import, stream_capture, stream_tab_machine,
     ]
     out: dict[str, Query] = {f.__name__: f for f in own}
     out |= {name: _search(text) for name, text in SEARCHES.items()}

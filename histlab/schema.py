@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new place in the folder that all executors share (spark.checkpoint.dir)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="histlab-")
+    return f"{base.rstrip('/')}/histlab-{label}-{uuid.uuid4().hex}"
+
+
 def conform(df: DataFrame, *extra: str) -> DataFrame:
     """``df`` in the history schema; columns that it lacks are null. ``extra`` columns stay behind."""
     have = set(df.columns)

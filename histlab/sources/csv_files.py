@@ -128,20 +128,17 @@ def read_csv(spark: SparkSession, path: str, layout: Layout | None = None) -> Da
     return conform(rows.withColumns({"last_visit": parse_iso(F.col("last_visit_time")), "source": F.lit("csv")}))
 
 
-def _raw(spark: SparkSession, path: str) -> bytes:
-    part = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFF_BYTES).alias("head")).first()
-    return bytes(part["head"]) if part else b""
-
-
 def head(spark: SparkSession, path: str) -> str:
-    data = _raw(spark, path)
+    """The first lines of the input, at most SNIFF_BYTES; only these reach the driver."""
+    rows = spark.read.text(path).select(F.substring(F.col("value").cast("binary"), 1, SNIFF_BYTES).alias("line")).limit(4 * SNIFF_LINES).collect()
+    data = b"\n".join(bytes(r["line"]) for r in rows)[:SNIFF_BYTES] + b"\n"
     try:
-        return data.decode("utf-8", errors="strict" if len(data) < SNIFF_BYTES else "ignore")
+        return data.decode("utf-8", "strict" if len(data) <= SNIFF_BYTES else "ignore")
     except UnicodeDecodeError:
         return data.decode("latin-1")
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if all of the content is valid UTF-8, else ISO-8859-1."""
-    bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string")))
+    """UTF-8 if all lines are valid UTF-8, else ISO-8859-1; lines are tested where they lie."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8(F.col("value")))
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"

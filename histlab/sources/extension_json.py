@@ -13,14 +13,14 @@ ROW = "url string, title string, timestamp string, incognito boolean, visit_coun
 SCHEMA = f"success boolean, timestamp string, error string, source string, version string, data array<struct<{', '.join(f.replace(' ', ':', 1) for f in ROW.split(', '))}>>"
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Rows of ``data`` in the history schema. Rows without an address are dropped.
 
     Files of the extension record visits one by one, so each row counts as one; other files
-    keep their counts. Titles of private visits get a mark. A file that is no such export
+    keep their counts. With ``lines`` each line is an export of its own. Titles of private visits get a mark. A file that is no such export
     gives no rows.
     """
-    files = spark.read.schema(SCHEMA).json(path, multiLine=True)
+    files = spark.read.schema(SCHEMA).json(path, multiLine=not lines)
     rows = files.select("source", F.explode("data").alias("e")).select(F.col("source").alias("_from"), "e.*").where(F.coalesce("url", F.lit("")) != "")
     one = F.coalesce(F.col("_from") == EXTENSION, F.lit(False))
     when = F.coalesce(F.when(one, F.col("timestamp")), "last_visit_time", "timestamp", F.lit(""))

@@ -54,3 +54,23 @@ def with_stream_metadata(visits: DataFrame, metadata: DataFrame, delay: str = "1
     m = metadata.withColumnsRenamed({"ts": "m_ts", "tab_id": "m_tab"}).withWatermark("m_ts", delay).alias("m")
     on = (F.col("v.tab_id") == F.col("m.m_tab")) & (F.col("m.m_ts") >= F.col("v.ts")) & (F.col("m.m_ts") <= F.col("v.ts") + F.expr(f"interval {within}"))
     return v.join(m, on, "left")
+
+
+def recent(spark: SparkSession, path: str, keep: int = LOG_RETAINED) -> DataFrame:
+    """The newest requests of a log."""
+    return compacted(spark, path, keep)
+
+
+def stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row over a log: totals by kind of window, first and last time."""
+    log = spark.read.parquet(path)
+    return log.agg(
+        F.count("*").alias("total"), F.count_if("incognito").alias("incognito"), F.count_if(~F.col("incognito")).alias("normal"), F.min("ts").alias("started"), F.max("ts").alias("updated")
+    )
+
+
+def reset(spark: SparkSession, *paths: str) -> None:
+    """Delete a log and its checkpoint."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
