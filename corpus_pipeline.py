@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histlab.llm.common import materialize, table
+from histlab.llm.common import broadcast_if_small, materialize, release_under, table
 from histlab.llm.line_dedup import line_dedup
 from histlab.llm.packing import pack
 from histlab.llm.pii import redact
@@ -28,11 +28,22 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _without(docs: DataFrame, decided: DataFrame, stays: Column) -> DataFrame:
+    """The documents but for those ids none of whose decided rows stays.
+
+    Fewer documents go than stay, so it is their ids that are stored, and broadcast where the
+    stored table has been measured and is small; the texts are then not shuffled.
+    """
+    gone = decided.groupBy(F.col("doc_id").alias("_id")).agg(stays.alias("stays")).where("not stays").select("_id")
+    gone = materialize(gone, "gone")
+    release_under(decided)
+    return docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; a doc_id goes only if all its rows are rejected."""
     judged = quality(docs, table(spark, sf_dir, "labels"))
-    good = materialize(judged.where("accepted").select(F.col("doc_id").alias("_id")).distinct(), "accepted")
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    return _without(docs, judged, F.bool_or("accepted"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +54,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
     joined = jaccard_join(docs)
-    first = materialize(joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "near-first")
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    return _without(docs, joined, F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,11 +58,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table made by materialize() that nothing will read again."""
-    path = df._histlab_path
-    _delete(df.sparkSession, path)
-    _written[:] = [x for x in _written if x[1] != path]
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by materialize() that nothing will read again."""
+    for df in tables:
+        path = df._histlab_path
+        _delete(df.sparkSession, path)
+        _written[:] = [x for x in _written if x[1] != path]
+
+
+def resting_on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Note that ``df`` reads these stored tables, so that release_under() can delete them."""
+    df._histlab_tables = tables
+    return df
+
+
+def release_under(df: DataFrame) -> None:
+    """Delete the stored tables that ``df`` reads; call it once its rows are written elsewhere."""
+    release(*df._histlab_tables)
+    df._histlab_tables = ()
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that have ended.
+
+    They go when the driver collects their garbage, which it may not do for long; in a job of
+    many steps they would add up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register
@@ -98,7 +123,24 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task.
+
+    Workers live on from stage to stage, and what their allocators keep would add up.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

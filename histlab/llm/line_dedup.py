@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_batches, materialize, text_of
+from .common import broadcast_if_small, map_batches, materialize, release, resting_on, text_of
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -55,7 +55,7 @@ def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dropped_places(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """From (id, mark, text): id, mark and the positions of the lines that go, where there are any."""
+    """From (id, mark, text), stored: id, mark and the positions of the lines that go, where there are any."""
     lines = materialize(line_rows(docs, min_chars), "lines")
     # Rows of a hash are at least as many as its documents, so this loses no line.
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("h1", "h2")
@@ -66,7 +66,10 @@ def dropped_places(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     holders = materialize(holders.select("h1", "h2", "keeper"), "lines-holders")
     gone = found.join(broadcast_if_small(holders), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     # One row per document and line key, so what a group gathers is bounded by its document.
-    return gone.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("gone"))
+    gone = gone.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("gone"))
+    gone = materialize(gone, "lines-gone")
+    release(lines, often, found, holders)
+    return gone
 
 
 def line_dedup(
@@ -93,15 +96,16 @@ def line_dedup(
         raise ValueError(f"the documents have columns {sorted(clash)} already")
     # mark tells rows with the same id but other texts apart.
     mark = F.xxhash64(text_of(text_col))
-    gone = materialize(dropped_places(docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text")), min_chars, min_docs), "lines-gone")
-    gone = broadcast_if_small(gone).select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), F.col("gone").alias("_gone"))
+    stored = dropped_places(docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text")), min_chars, min_docs)
+    gone = broadcast_if_small(stored).select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), F.col("gone").alias("_gone"))
     on = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (mark == F.col("_gone_mark"))
     joined = docs.join(gone, on, "left")
     lines = F.split(text_of(text_col), "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
-    return joined.select(
+    out = joined.select(
         *docs.columns,
         F.when(F.col("_gone").isNull(), text_of(text_col)).otherwise(F.array_join(left, "\n")).alias(into),
         F.size(lines).cast("long").alias(lines_col),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(dropped_col),
     )
+    return resting_on(out, stored)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_batches, materialize
+from .common import broadcast_if_small, map_batches, materialize, release, resting_on
 
 #: Bound of the labelled sample: documents of either label, by the smallest hash of the id.
 MAX_EACH = 4000
@@ -144,18 +144,21 @@ def strength(groups: DataFrame, above: str) -> float:
 
 
 def site_posteriors(judged: DataFrame) -> DataFrame:
-    """From stored (host, path, evidence): host, path, n, sum and the posterior means above a document."""
+    """From stored (host, path, evidence), stored: host, path, n, sum and the posterior means above a document."""
     sums = [F.count("*").alias("n"), F.sum("evidence").alias("sum"), F.sum(F.col("evidence") ** 2).alias("squares")]
     paths = materialize(judged.groupBy("host", "path").agg(*sums), "quality-paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).first()
     overall = total["sum"] / total["n"] if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("squares").alias("squares"))
-    hosts = materialize(hosts.withColumn("overall", F.lit(overall)), "quality-hosts")
+    hosts = hosts_table = materialize(hosts.withColumn("overall", F.lit(overall)), "quality-hosts")
     a = strength(hosts, "overall")
     hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("sum").alias("host_sum"), ((F.col("sum") + a * overall) / (F.col("n") + a)).alias("host_mean"))
     joined = materialize(paths.join(hosts, paths.host.eqNullSafe(hosts.host)).drop(hosts.host), "quality-sites")
     b = strength(joined, "host_mean")
-    return joined.drop("squares").withColumns({"overall": F.lit(overall), "host_strength": F.lit(a), "path_strength": F.lit(b)})
+    out = joined.drop("squares").withColumns({"overall": F.lit(overall), "host_strength": F.lit(a), "path_strength": F.lit(b)})
+    out = materialize(out, "quality-posteriors")
+    release(paths, hosts_table, joined)
+    return out
 
 
 def quality(
@@ -184,8 +187,8 @@ def quality(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.alias("host"), path.alias("path"))
     judged = materialize(classify(rows, weights).drop("text"), "quality-judged")
     # Sites as many as there are: broadcast only where the table has been measured and is small.
-    sites = broadcast_if_small(materialize(site_posteriors(judged), "quality-posteriors"))
-    sites = sites.withColumnsRenamed({"host": "s_host", "path": "s_path"})
+    stored = site_posteriors(judged)
+    sites = broadcast_if_small(stored).withColumnsRenamed({"host": "s_host", "path": "s_path"})
     out = judged.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
     own = F.col("evidence")
     a, b, overall = F.col("host_strength"), F.col("path_strength"), F.col("overall")
@@ -194,4 +197,5 @@ def quality(
     out = out.withColumn("host_mean", host_mean).withColumn("path_mean", path_mean)
     odds = _logit(own) + SITE_WEIGHT * (_logit(F.col("path_mean")) - _logit(overall))
     out = out.withColumn("probability", 1 / (1 + F.exp(-odds)))
-    return out.select(F.col("id").alias(id_col), "evidence", "host_mean", "path_mean", "probability", (F.col("probability") >= threshold).alias("accepted"))
+    out = out.select(F.col("id").alias(id_col), "evidence", "host_mean", "path_mean", "probability", (F.col("probability") >= threshold).alias("accepted"))
+    return resting_on(out, judged, stored)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_batches, materialize, release
+from .common import broadcast_if_small, map_batches, materialize, release, resting_on, tidy
 from .components import components
 
 WIDTH = 5
@@ -37,7 +37,7 @@ FREQUENT = 50
 MARGIN = 0.25
 
 #: Tokens that are counted before they are sent on.
-COUNT_TOKENS = 1 << 22
+COUNT_TOKENS = 1 << 21
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -208,8 +208,8 @@ def described(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, c
 def stored_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Stored (cid, members) for the classes of ``wanted`` (cid); members are the sorted hashes."""
     need = materialize(classes.join(wanted.distinct(), "cid").select("cid", "rep", "s1", "s2"), "join-wanted")
-    reps = broadcast_if_small(need).select(F.col("rep").alias("w_rep"))
-    texts = docs.join(reps, F.col("id").eqNullSafe(F.col("w_rep")), "left_semi").select("text")
+    reps = materialize(need.select(F.col("rep").alias("w_rep")).distinct(), "join-reps")
+    texts = docs.join(broadcast_if_small(reps), F.col("id").eqNullSafe(F.col("w_rep")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +220,7 @@ def stored_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: i
     sets = map_batches(texts, run, "s1 long, s2 long, members binary")
     sets = sets.join(broadcast_if_small(need).select("cid", "s1", "s2"), ["s1", "s2"])
     out = materialize(sets.groupBy("cid").agg(F.first("members").alias("members")), "join-sets")
-    release(need)
+    release(need, reps)
     return out
 
 
@@ -259,17 +259,29 @@ def _common_enough(n: str, rare: str, m: str, rare_m: str, percent: int):
     return F.least(F.col(n) - F.col(rare), F.col(m) - F.col(rare_m)) >= _needed(n, m, percent)
 
 
-def prefix_filter(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of groups whose prefixes overlap enough for the sets to be similar.
+def prefix_filter(pairs: DataFrame, groups: DataFrame, percent: int, label: str) -> DataFrame:
+    """Pairs (a, b) of groups, stored, whose prefixes overlap enough for the sets to be similar.
 
     Of two prefixes, the one that ends first in the global order shares nothing with what
     follows the other, so the overlap is at most that of the prefixes and of one remainder.
+    Only groups that are in a pair are read on, with 32 bits of each shingle: what shares
+    these counts as shared, so no pair is lost.
     """
-    side = lambda x: groups.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    pairs = materialize(pairs, f"{label}-pairs")
+    met = materialize(pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).distinct(), f"{label}-met")
+    short = F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int"))
+    involved = groups.join(broadcast_if_small(met), "gid", "left_semi").select("gid", "n", short.alias("prefix"))
+    involved = materialize(involved, f"{label}-involved")
+    tidy(pairs.sparkSession)
+    small = broadcast_if_small(involved)
+    side = lambda x: small.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
     enough = F.size(F.array_intersect("pa", "pb")) + rest >= _needed("na", "nb", percent)
-    return both.where(_similar_sizes("na", "nb", percent) & enough).select("a", "b")
+    out = materialize(both.where(_similar_sizes("na", "nb", percent) & enough).select("a", "b"), label)
+    release(pairs, met, involved)
+    tidy(out.sparkSession)
+    return out
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -284,14 +296,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     frequent, counts = frequent_shingles(docs.select("text"), width, percent)
-    rows = materialize(described(docs, width, percent, frequent, counts), "join-rows")
-
-    # Equal sets are one class.
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("rare").alias("rare"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "join-classes")
-    # Equal prefixes and sizes are one group, headed by its most copied class.
-    groups = classes.groupBy("p1", "p2", "n").agg(F.max(F.struct("copies", (-F.col("cid")).alias("less"))).alias("head"), F.count("*").alias("members"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-    groups = materialize(groups.select((-F.col("head.less")).alias("gid"), "p1", "p2", "n", "rare", "members", F.col("head.copies").alias("copies"), "prefix"), "join-groups")
+    rows = described(docs, width, percent, frequent, counts).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "join-rows")
+
+    # Equal sets are one class, named by one of its rows.
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("row").alias("cid"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
+    classes = materialize(classes, "join-classes")
+    # Equal prefixes and sizes are one group, headed by its most copied class, whose row has the prefix.
+    heads = classes.groupBy("p1", "p2", "n").agg(F.max(F.struct("copies", (-F.col("cid")).alias("less"))).alias("head"), F.count("*").alias("members"))
+    heads = materialize(heads.select((-F.col("head.less")).alias("gid"), "p1", "p2", "members", F.col("head.copies").alias("copies")), "join-heads")
+    groups = rows.select(F.col("row").alias("gid"), "n", "rare", "prefix").join(broadcast_if_small(heads), "gid")
+    groups = materialize(groups, "join-groups")
+    whole, rows = rows, materialize(rows.select("id", "n", "s1", "s2"), "join-slim-rows")
+    release(whole)
+    tidy(docs.sparkSession)
     crowded = groups.where("members > 1").select("gid", "p1", "p2", "n")
     member = materialize(classes.select("cid", "p1", "p2", "n").join(crowded, ["p1", "p2", "n"]).select("gid", "cid").where("cid <> gid"), "join-members")
 
@@ -303,41 +321,49 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = postings.withColumn("pivot", F.max(order).over(of)).withColumn("size", F.count("*").over(of))
     pivot = [(-F.col("pivot.less")).alias("pivot"), F.col("pivot.n").alias("pivot_n"), (-F.col("pivot.common")).alias("pivot_rare")]
     met = materialize(lists.where("size > 1").select("token", "gid", "n", "rare", "at", *pivot), "join-met")
+    tidy(docs.sparkSession)
 
     stars = met.where(F.col("gid") != F.col("pivot")).where(_similar_sizes("n", "pivot_n", percent))
     stars = stars.where((F.col("at") < F.col("rare")) | _common_enough("n", "rare", "pivot_n", "pivot_rare", percent))
-    stars = materialize(prefix_filter(stars.select(F.col("pivot").alias("a"), F.col("gid").alias("b")).distinct(), groups, percent), "join-stars")
+    stars = prefix_filter(stars.select(F.col("pivot").alias("a"), F.col("gid").alias("b")).distinct(), groups, percent, "join-stars")
     first = stars.unionByName(member.select(F.col("gid").alias("a"), F.col("cid").alias("b")))
     sets = stored_sets(docs, classes, first.select(F.col("a").alias("cid")).unionByName(first.select(F.col("b").alias("cid"))), width)
     links = materialize(verified(first, sets, percent), "join-links")
+    release(stars, sets)
+    tidy(docs.sparkSession)
     label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
 
-    second = materialize(_rest(met, groups, member, label, percent), "join-rest")
+    second = _rest(met, groups, member, label, percent)
+    release(met, groups)
     if second.isEmpty():
         linked = label
     else:
         wanted = second.select(F.col("a").alias("cid")).unionByName(second.select(F.col("b").alias("cid")))
-        more = verified(second, stored_sets(docs, classes, wanted, width), percent)
+        sets = stored_sets(docs, classes, wanted, width)
+        more = materialize(verified(second, sets, percent), "join-more")
+        release(sets, label)
         linked = materialize(components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-components")
+        release(more)
 
     # From classes back to rows; classes alone are their own component.
     member_of = classes.select("s1", "s2", "rep", "copies", "cid").join(linked.select(F.col("node").alias("cid"), "root"), "cid", "left")
     least = member_of.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     member_of = materialize(member_of.join(least, "root", "left").select("s1", "s2", "rep", "copies", F.coalesce("least", "rep").alias("component")), "join-result")
     out = rows.select("id", "n", "s1", "s2").join(member_of, ["s1", "s2"], "left")
-    for table in (groups, member, met, stars, sets, second, classes):
-        release(table)
-    return out.select(
+    release(heads, member, second, classes, links, linked)
+    tidy(docs.sparkSession)
+    out = out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
         F.coalesce("rep", "id").alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("class_size"),
     )
+    return resting_on(out, rows, member_of)
 
 
 def _rest(met: DataFrame, groups: DataFrame, member: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes with different labels that the prefixes allow to be similar."""
+    """Pairs of classes with different labels, stored, that the prefixes allow to be similar."""
     names = label.select(F.col("node").alias("gid"), F.col("root"))
     labelled = met.select("token", "gid", "n", "rare", "at").join(names, "gid", "left").withColumn("label", F.coalesce("root", "gid")).drop("root")
     # Members not linked with their head have labels of their own, so their groups count as mixed.
@@ -347,7 +373,7 @@ def _rest(met: DataFrame, groups: DataFrame, member: DataFrame, label: DataFrame
     mixed = everyone.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = materialize(mixed.where("lo < hi").select("gid"), "join-mixed")
     labelled = labelled.join(mixed.withColumn("mixed", F.lit(True)), "gid", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
-    labelled = materialize(labelled, "join-labelled")
+    labelled = labelled_table = materialize(labelled, "join-labelled")
     tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("mixed").alias("mixed"))
     labelled = labelled.join(tokens.where("lo < hi or mixed").select("token"), "token")
     # The larger set lies in the size band of the smaller one or in the next.
@@ -362,7 +388,7 @@ def _rest(met: DataFrame, groups: DataFrame, member: DataFrame, label: DataFrame
     bound = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
     enough = (F.col("ia") < F.col("ra")) | _common_enough("na", "ra", "nb", "rb", percent)
     pairs = left.join(right, ["token", "band"]).where(ordered & different & enough & _similar_sizes("na", "nb", percent) & (bound >= _needed("na", "nb", percent)))
-    pairs = prefix_filter(pairs.select("a", "b").distinct(), groups, percent)
+    pairs = stored = prefix_filter(pairs.select("a", "b").distinct(), groups, percent, "join-across")
     # Expand the groups to their members, and mixed groups with themselves.
     alone = lambda x: F.col(f"c{x}").isNull()
     side = lambda x: everyone.select(F.col("gid").alias(x), F.col("cid").alias(f"c{x}"), F.col("label").alias(f"l{x}"))
@@ -375,4 +401,6 @@ def _rest(met: DataFrame, groups: DataFrame, member: DataFrame, label: DataFrame
     inner = everyone.join(mixed, "gid")
     within = inner.select("gid", F.col("cid").alias("a"), F.col("label").alias("la")).join(inner.select("gid", F.col("cid").alias("b"), F.col("label").alias("lb")), "gid")
     within = within.where("la <> lb and a < b").select("a", "b")
-    return across.unionByName(within).distinct()
+    out = materialize(across.unionByName(within).distinct(), "join-rest")
+    release(labelled_table, everyone, mixed, stored)
+    return out
