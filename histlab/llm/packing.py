@@ -28,8 +28,8 @@ WINDOW = 2048
 END_ID = 1
 
 #: Words whose ids a worker remembers, and stems of words; beyond, only those of the latest texts stay.
-REMEMBERED_WORDS = 400_000
-REMEMBERED_STEMS = 400_000
+REMEMBERED_WORDS = 250_000
+REMEMBERED_STEMS = 250_000
 
 #: Bytes of text that are encoded together and sent on.
 FLUSH_BYTES = 4 << 20
@@ -38,7 +38,9 @@ FLUSH_BYTES = 4 << 20
 _PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
 #: The start of a special token, or a mark that can join with a letter before it.
-_NO_LOWER = r"<\||[\x{300}-\x{36f}]"
+_AS_IT_IS = r"<\||[\x{300}-\x{36f}]"
+#: A letter and the marks behind it, which the tokenizer takes apart in any case.
+_MARKED = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,10 +61,11 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.whole.model)  # the same model in memory
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -108,9 +111,10 @@ class WordEncoder:
 
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
         """The ids of each text with the end id, as little-endian unsigned 32-bit; and their numbers."""
-        # Lower-casing A-Z changes no id, unless it makes a special token or a composed letter of what is none.
-        texts = pc.if_else(pc.match_substring_regex(texts, _NO_LOWER), texts, pc.ascii_lower(texts))
-        split = pc.ascii_split_whitespace(texts)
+        # A space before marks and lower-case A-Z change no id, unless that makes or breaks a
+        # special token, or a composed letter.
+        simple = pc.replace_substring_regex(pc.ascii_lower(texts), _MARKED, r"\1 \2")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, _AS_IT_IS), texts, simple))
         coded = pc.list_flatten(split).dictionary_encode()
         met, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
         known = self.words
@@ -118,21 +122,14 @@ class WordEncoder:
         ids = list(map(known.__getitem__, met))
         if len(known) > REMEMBERED_WORDS:
             self.words = {b"": b""} | dict(zip(met, ids, strict=True))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        word_sizes = sizes[codes]
-        n_words = pc.list_value_length(split).to_numpy().astype(np.int64)
-        word_ends = np.cumsum(word_sizes)
-        total = int(word_ends[-1]) if len(word_ends) else 0
-        text_of = np.repeat(np.arange(len(texts)), n_words)
-        out = np.empty(total + len(texts), "<u4")
-        place = np.arange(total)
-        out[place + np.repeat(text_of, word_sizes)] = flat[place + np.repeat(starts[codes] - word_ends + word_sizes, word_sizes)]
-        ends = np.concatenate(([0], word_ends))[np.cumsum(n_words)] + np.arange(1, len(texts) + 1)
-        out[ends - 1] = end_id
-        offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
-        return packed, np.diff(ends, prepend=0)
+        # The end id counts as one more word of each text; taking the words' ids puts them in one buffer.
+        ids.append(np.array([end_id], "<u4").tobytes())
+        stops = np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64))
+        taken = pa.array(ids, pa.binary()).take(pa.array(np.insert(codes, stops, len(ids) - 1)))
+        bounds = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4) if len(taken) else np.zeros(1, np.int32)
+        offsets = bounds[np.concatenate(([0], stops + np.arange(1, len(texts) + 1)))]
+        packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), taken.buffers()[2]])
+        return packed, np.diff(offsets.astype(np.int64)) // 4
 
 
 @lru_cache(maxsize=2)
