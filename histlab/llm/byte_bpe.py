@@ -17,14 +17,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_batches
 
 #: Pieces whose encoding a worker remembers, and token pairs whose compatibility it does.
-REMEMBERED_PIECES = 300_000
+REMEMBERED_PIECES = 600_000
 REMEMBERED_PAIRS = 1_000_000
 
 #: Texts longer than this many characters are split into pieces a part at a time.
@@ -83,16 +85,17 @@ class ByteBPE:
         return last
 
     def _last_at(self, data: bytes, end: int, last: list[int]) -> int:
-        tails, length = self._tails, 1
-        while length <= end:
-            rank = tails.get(data[end - length : end])
+        tails, pairs = self._tails, self._pairs
+        for start in range(end - 1, -1, -1):
+            rank = tails.get(data[start:end])
             if rank is None:
                 break
             if rank >= 0:
-                rest = end - length
-                if not rest or self.compatible(last[rest], rank):
+                if not start:
+                    return rank
+                known = pairs.get((last[start], rank))
+                if known or known is None and self.compatible(last[start], rank):
                     return rank
-            length += 1
         raise ValueError("the vocabulary has no token for a byte")
 
     def walk_back(self, last: list[int]) -> list[int]:
@@ -150,6 +153,7 @@ class TextEncoder(dict):
     def __init__(self, ranks_path: str, pattern: str):
         super().__init__()
         self.bpe = ByteBPE(load_ranks(ranks_path))
+        self.token_table = pa.array([self.bpe.tokens.get(i, b"") for i in range(max(self.bpe.tokens) + 1)], pa.binary())
         # The library's \s is the property White_Space; this one's would add four control characters.
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
@@ -221,14 +225,17 @@ def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
     if into in df.columns:
         raise ValueError(f"the table has a column {into} already")
 
-    def make():
-        tokens = encoder(ranks_path, pattern).bpe.tokens
-
-        def decode(ids: bytes | None) -> bytes:
-            found = array("I")
-            found.frombytes(ids or b"")
-            return b"".join(map(tokens.__getitem__, found))
-
-        return decode
-
-    return map_batches(df, _convert(ids_col, into, make, pa.binary()), f"{_schema(df)}, `{into}` binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(ranks_path, pattern).token_table
+        for batch in batches:
+            ids = pc.fill_null(batch.column(batch.schema.get_field_index(ids_col)), b"")
+            bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")[bounds[0] // 4 : bounds[-1] // 4]
+            # Taking the tokens of all ids puts their bytes in one buffer, which the texts' bounds divide.
+            taken = tokens.take(pa.array(flat))
+            ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1) if len(taken) else np.zeros(1, np.int32)
+            offsets = np.ascontiguousarray(ends[(bounds - bounds[0]) // 4])
+            decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), taken.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], schema=pa.schema([*batch.schema, pa.field(into, pa.binary())]))
+
+    return map_batches(df, run, f"{_schema(df)}, `{into}` binary")
