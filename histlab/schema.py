@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,9 +24,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new place in the folder that all executors share (spark.checkpoint.dir)."""
+    """A new place in the folder that all executors share (spark.checkpoint.dir), deleted at exit."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="histlab-")
-    return f"{base.rstrip('/')}/histlab-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/histlab-{label}-{uuid.uuid4().hex}"
+    _places.append((spark, path))
+    return path
+
+
+_places: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_places() -> None:
+    for spark, path in _places:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may have ended before
+            return
 
 
 def conform(df: DataFrame, *extra: str) -> DataFrame:
