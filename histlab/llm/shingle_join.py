@@ -273,8 +273,8 @@ def prefix_filter(pairs: DataFrame, groups: DataFrame, percent: int, label: str)
     involved = groups.join(broadcast_if_small(met), "gid", "left_semi").select("gid", "n", short.alias("prefix"))
     involved = materialize(involved, f"{label}-involved")
     tidy(pairs.sparkSession)
-    small = broadcast_if_small(involved)
-    side = lambda x: small.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    # Prefixes are joined by shuffle at every size, so disk grows in proportion.
+    side = lambda x: involved.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
     enough = F.size(F.array_intersect("pa", "pb")) + rest >= _needed("na", "nb", percent)
@@ -346,11 +346,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         release(more)
 
     # From classes back to rows; classes alone are their own component.
-    member_of = classes.select("s1", "s2", "rep", "copies", "cid").join(linked.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    least = member_of.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    member_of = materialize(member_of.join(least, "root", "left").select("s1", "s2", "rep", "copies", F.coalesce("least", "rep").alias("component")), "join-result")
+    rooted = classes.select("s1", "s2", "rep", "copies", "cid").join(linked.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    rooted = materialize(rooted, "join-rooted")
+    # Stored, so that a component with very many classes is either broadcast to or split, not gathered.
+    least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("rep").alias("least")), "join-least")
+    member_of = rooted.join(broadcast_if_small(least), "root", "left")
+    member_of = materialize(member_of.select("s1", "s2", "rep", "copies", F.coalesce("least", "rep").alias("component")), "join-result")
     out = rows.select("id", "n", "s1", "s2").join(member_of, ["s1", "s2"], "left")
-    release(heads, member, second, classes, links, linked)
+    release(heads, member, second, classes, links, linked, rooted, least)
     tidy(docs.sparkSession)
     out = out.select(
         F.col("id").alias(id_col),
