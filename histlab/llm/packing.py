@@ -28,11 +28,11 @@ WINDOW = 2048
 END_ID = 1
 
 #: Words whose ids a worker remembers, and stems of words; beyond, only those of the latest texts stay.
-REMEMBERED_WORDS = 250_000
-REMEMBERED_STEMS = 250_000
+REMEMBERED_WORDS = 150_000
+REMEMBERED_STEMS = 150_000
 
 #: Bytes of text that are encoded together and sent on.
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 3 << 20
 
 #: A word of letters with marks behind it, which the tokenizer takes apart at just that place.
 _PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
