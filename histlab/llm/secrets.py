@@ -103,11 +103,17 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     names = F.create_map(*(F.lit(x) for k in KINDS for x in (KINDS.index(k), PART[k])))
     parts = materialize(parts.withColumn("part", names[F.col("kind")]), "secret-parts")
     # A weak candidate that a base finding covers is reported already.
-    base = parts.where(F.col("kind") < 3).select(F.col("id").alias("b_id"), F.col("mark").alias("b_mark"), F.col("start").alias("b_start"), F.col("stop").alias("b_stop"), F.floor(F.col("start") / scope).alias("b_bin"))
-    near = F.array(*(F.floor(F.col("start") / scope) + d for d in (-1, 0, 1)))
-    weak = parts.where(F.col("kind") >= 3).select("id", "mark", "kind", "start", "stop", F.explode(near).alias("bin"))
+    # A span has a row for every bin it touches, so long ones meet whatever lies along them.
+    width = max(scope, 1)
+
+    def bins(margin: int) -> Column:
+        first, last = (F.floor((F.col(c) + d) / width) for c, d in (("start", -margin), ("stop", margin)))
+        return F.explode(F.sequence(first, last))
+
+    base = parts.where(F.col("kind") < 3).select(F.col("id").alias("b_id"), F.col("mark").alias("b_mark"), F.col("start").alias("b_start"), F.col("stop").alias("b_stop"), bins(0).alias("b_bin"))
+    weak = parts.where(F.col("kind") >= 3).select("id", "mark", "kind", "start", "stop", bins(scope).alias("bin"))
     same = lambda p: F.col("id").eqNullSafe(F.col(f"{p}_id")) & (F.col("mark") == F.col(f"{p}_mark")) & (F.col("bin") == F.col(f"{p}_bin"))
-    other = parts.select(F.col("id").alias("o_id"), F.col("mark").alias("o_mark"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), F.col("part").alias("o_part"), F.floor(F.col("start") / scope).alias("o_bin"))
+    other = parts.select(F.col("id").alias("o_id"), F.col("mark").alias("o_mark"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), F.col("part").alias("o_part"), bins(0).alias("o_bin"))
     helps = F.lit(False)
     for kind, needs in NEEDS.items():
         helps = helps | ((F.col("kind") == KINDS.index(kind)) & F.col("o_part").isin(*needs))
@@ -115,7 +121,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     overlap = (F.col("start") < F.col("o_stop")) & (F.col("o_start") < F.col("stop"))
     good = weak.join(other, same("o") & helps & apart & ~overlap, "left_semi").select("id", "mark", "kind", "start", "stop").distinct()
     covered = (F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop"))
-    good = good.withColumn("bin", F.explode(near))
+    good = good.withColumn("bin", bins(0))
     hit = good.join(base, same("b") & covered, "left_semi").select("id", "mark", "kind", "start", "stop").distinct()
     good = good.select("id", "mark", "kind", "start", "stop").distinct()
     hit = hit.select(*(F.col(c).alias(f"h_{c}") for c in hit.columns))

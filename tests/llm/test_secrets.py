@@ -57,3 +57,20 @@ def test_links(spark):
     out = {r["doc_id"]: r for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [out[i]["n_linked"] for i in range(1, 7)] == [3, 0, 0, 0, 1, 1]
     assert out[6]["spans"] == "access:0:20,opaque:21:43" and out[5]["spans"].startswith("login:0:13,assign:")
+
+
+def test_long_spans(spark):
+    opaque = "Zk9xQ2mPlr7TyU8wVb3N1c"
+    url, jwt = "https://x.io/" + "a-" * 600, "Ab1-" * 400
+    rows = [
+        (1, f"password={'x' * 1500} login: bob"),  # a long secret right before a login
+        (2, f"{url} {opaque}"),
+        (3, f"user: bob99 token={jwt}.{jwt}"),  # the weak span far inside a base one is covered
+        (4, f"login: bob{' word' * 300} password={'x' * 1500}"),
+        (5, f"password={'x' * 1500}{' word' * 61} login: bob"),  # over SCOPE behind the end
+    ]
+    out = {r["doc_id"]: r for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["spans"].endswith(",login:1510:1520")
+    assert out[2]["spans"] == f"endpoint:0:{len(url)},opaque:{len(url) + 1}:{len(url) + 23}"
+    assert out[3]["spans"] == f"login:0:11,assign:12:{18 + 2 * len(jwt) + 1}"
+    assert [out[i]["n_linked"] for i in (1, 2, 3, 4, 5)] == [1, 2, 1, 0, 0]
