@@ -17,6 +17,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,7 +97,14 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 # The model.
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
-_SIGN = re.compile(r"@|[0-9](?:[^\w\n]{0,2}[0-9]){6}|(?i:[(\[{ ]at[)\]} ][^\n]{1,40}?[(\[{ ](?:dot)[)\]} ])|\b[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}")
+_SIGN = re.compile(r"@|\b[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}")
+_RUN = re.compile(r"[0-9]+")
+#: A spelled-out address from its `at` on.
+_AT = re.compile(r"(?i:\[at\]|\(at\)|\{at\}| at(?= ))")
+_BEHIND = re.compile(r"(?i) {0,2}[\w-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[\w-]+|\.[\w-]+)+")
+_BEFORE = re.compile(r"[\w.%+-]")
+#: A place in a plain sentence rather than an address: `at` as a word, dots as they are.
+_PLACE = re.compile(r"(?i)[\w.%+-]+  ?at  ?[\w-]+(?:\.[\w-]+)+")
 _SHAPES = {
     "email": re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"),
     "spelled": re.compile(r"(?i)[\w.%+-]+ ?(?:\[at\]|\(at\)|\{at\}| at ) ?[\w-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[\w-]+|\.[\w-]+)+"),
@@ -138,6 +146,8 @@ def span_features(text: str, tokens: list[Span], i: int, j: int) -> list[str]:
     digits = _digits(span)
     out = ["bias", f"tokens:{min(j - i, 8)}", f"digits:{min(len(digits), 20)}"]
     out += [f"shape:{name}" for name, shape in _SHAPES.items() if shape.fullmatch(span)]
+    if _PLACE.fullmatch(span):
+        out.append("place")
     if digits and 13 <= len(digits) <= 19:
         out.append(f"luhn:{luhn(digits)}")
     if len(span) >= 15 and span[:2].isalpha() and iban_valid(span):
@@ -225,6 +235,7 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
                 f"{word()} at {word()}", f"@{word()}", f"{rng.randint(1, 12)}:{number(2)}", f"{number(2)},{number(3)},{number(3)}",
                 f"{word()} @ {word()}", f"{number(4)} {number(4)}", f"{number(2)} {number(2)} {number(2)} {number(2)}", f"{rng.randint(1900, 2030)} {rng.randint(1900, 2030)}",
                 "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(8, 40))), f"v{number(1)}.{number(1)}.{number(2)}-{number(6)}",
+                f"{word()} at {'.'.join(domain())}", f"{word()} at {word()}.{word().title()}", f"{rng.randint(1900, 2030)} {word()} {rng.randint(1900, 2030)}", f"{number(3)} {word()} {number(5)} {word()}",
             ]
         )
 
@@ -283,11 +294,39 @@ def weights() -> dict[tuple[str, str], float]:
     return train()
 
 
+def digit_signs(text: str) -> Iterator[Span]:
+    """The shortest stretches of 7 digits and more on one line and within MAX_TOKENS tokens."""
+    runs = [m.span() for m in _RUN.finditer(text)]
+    last, digits = 0, 0
+    for first, (start, stop) in enumerate(runs):
+        while digits < 7 and last < len(runs):
+            digits += runs[last][1] - runs[last][0]
+            last += 1
+        if digits < 7:
+            return
+        end = runs[last - 1][1]
+        if text.find("\n", start, end) < 0 and sum(1 for _ in islice(_TOKEN.finditer(text, start, end), MAX_TOKENS + 1)) <= MAX_TOKENS:
+            yield start, end
+        digits -= stop - start
+
+
+def spelled_signs(text: str) -> Iterator[Span]:
+    """Spelled-out addresses as far as their shape goes, whatever their length."""
+    for m in _AT.finditer(text):
+        behind = _BEHIND.match(text, m.end())
+        if behind:
+            start = m.start()
+            start -= text[start - 1 : start] == " "
+            while start and _BEFORE.match(text[start - 1]):
+                start -= 1
+            yield start, behind.end()
+
+
 def regions(text: str) -> list[Span]:
-    """Stretches around the signs, widened to white space and joined where they meet."""
+    """Stretches around the signs, joined where they meet; whatever can be a candidate has a sign."""
     out: list[Span] = []
-    for m in _SIGN.finditer(text):
-        start, stop = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+    for a, b in sorted([*(m.span() for m in _SIGN.finditer(text)), *digit_signs(text), *spelled_signs(text)]):
+        start, stop = max(0, a - MARGIN), min(len(text), b + MARGIN)
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(stop, out[-1][1]))
         else:

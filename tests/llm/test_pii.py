@@ -71,3 +71,34 @@ def test_redaction(spark):
     weights = pii.weights()
     _, added = pii.find("Please mail anna [at] host [dot] org today, my ssn 123-45-6789.", weights)
     assert {k for _, _, k in added} == {"email", "ssn"}
+
+
+def test_gate_lets_every_candidate_through():
+    rng, weights = random.Random(79), pii.weights()
+    hit = wrong = missed = 0
+    for _ in range(400):
+        text, gold = pii._sentence(rng)
+        base, added = pii.find(text, weights)
+        found = {(a, b, k) for k in pii.BASE for a, b in base[k]} | set(added)
+        hit, wrong, missed = hit + len(found & set(gold)), wrong + len(found - set(gold)), missed + len(set(gold) - found)
+    assert hit / (hit + wrong) > 0.93 and hit / (hit + missed) > 0.93
+    bits = ["bob", " ", "1", "23", "4567", "_", "@", " at ", "[at]", " (at) ", ".", " dot ", "[dot]", "\n", "x" * 70, "-", ", "]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        tokens, inside = pii.tokens_of(text), pii.regions(text)
+        shortest = [(i, j) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + pii.MAX_TOKENS) + 1) if pii.candidate(text, tokens, i, j)]
+        for i, j in shortest:
+            assert any(a < tokens[j - 1][1] and tokens[i][0] < b for a, b in inside), text
+            if pii._SHAPES["spelled"].fullmatch(text[tokens[i][0] : tokens[j - 1][1]]):
+                assert any(a <= tokens[i][0] and tokens[j - 1][1] <= b for a, b in inside), text
+
+
+def test_spelled_addresses_are_found():
+    weights = pii.weights()
+    long = f"{'verylong' * 7} (dot) example (dot) org"
+    for made in ("john (at) example.com", "john [at] mail.example.org", f"john (at) {long}", "anna at host dot org"):
+        text = f"Dear all, please write {made} today"
+        _, added = pii.find(text, weights)
+        assert [(text[a:b], k) for a, b, k in added] == [(made, "email")]
+    for plain in ("Have a look at example.com for more", "We were at home.He said nothing", "from 1999 and 2003 on", "He sold 120 pens and 45000 caps"):
+        assert not pii.find(plain, weights)[1], plain
