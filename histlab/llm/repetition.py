@@ -1,20 +1,22 @@
 """Quality rules with suffix-array repetition.
 
-The texts of a batch are put together as one sequence of word numbers, each text with
-numbers of its own, so one suffix array serves them all and no repeat spans two texts.
-Ranks of prefixes of 1, 2, 4, ... tokens (prefix doubling, sorting only what is not told
-apart yet) give the suffix array, and, from the longest down, the longest common prefix of
-neighbours. The deepest LCP interval that holds a suffix is the longest maximal repeat that
-starts there; the union of these spans is what a text repeats. A text is kept if the
-repeated share and the longest repeat stay within limits.
-
-Words of more than LONG_WORD bytes count as single characters here, so repeats in text
-without spaces are found too.
+The texts of a batch are put together as one sequence, each text told apart from the others,
+so one suffix array serves them all and no repeat spans two texts. Ranks of prefixes
+(prefix doubling, sorting only what is not told apart yet) give the suffix array, and, from
+the longest down, the longest common prefix of neighbours. The deepest LCP interval that
+holds a suffix is the longest maximal repeat that starts there; the union of these spans is
+what a text repeats. A text is kept if the repeated share and the longest repeat stay within
+limits.
+
+Repeated windows are counted over words. Repeats are of characters, so they do not depend on
+how long words are: the array is over bytes, with one blank between words that has no size,
+and spans are cut to whole characters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,6 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-LONG_WORD = 64
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -33,10 +34,13 @@ MIN_REPEAT_BYTES = 30
 MAX_COVERED = 0.3
 MAX_LONGEST_BYTES = 2000
 
-#: Tokens that share one suffix array; a longer text has one of its own.
+#: Words that are measured together, and bytes and texts that share one suffix array; a longer text has one of its own.
 BATCH_TOKENS = 150_000
+BATCH_BYTES, BATCH_TEXTS = 150_000, 30_000
+#: Bytes by which suffixes are sorted at first.
+FIRST_BYTES = 6
 
-#: From this many tokens on, prefix lengths are found one by one, in less memory.
+#: From this many bytes on, prefix lengths are found one by one, in less memory.
 LARGE_TOKENS = 1 << 20
 
 
@@ -61,77 +65,10 @@ class Sequence:
         self.text_of = np.repeat(np.arange(len(texts)), counts + 1)
         ends = np.cumsum(counts + 1) - 1
         self.tokens = self.text_of * (len(numbers) + 1)
-        self.sizes = np.zeros(total + len(texts), np.int64)
         inside = np.ones(total + len(texts), bool)
         inside[ends] = False
         self.tokens[inside] += flat
         self.tokens[ends] += len(numbers)
-        sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
-        self.sizes[inside] = sizes[flat] if total else 0
-        self.ends = ends
-
-    def ranks(self) -> Iterator[np.ndarray]:
-        """Ranks by the first 1, 2, 4, ... tokens, until all suffixes are told apart."""
-        n = len(self.tokens)
-        order = np.argsort(self.tokens, kind="stable")
-        ordered = self.tokens[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        rank = np.empty(n, np.int32)
-        rank[order] = np.repeat(first, np.diff(np.append(first, n))).astype(np.int32)
-        sizes = np.diff(np.append(first, n))
-        open_ = order[np.repeat(sizes > 1, sizes)]
-        step = 1
-        yield rank
-        while len(open_):
-            # A suffix still open goes on for ``step`` tokens at least, so open_ + step is inside.
-            a, b = rank[open_].astype(np.int64), rank[open_ + step].astype(np.int64)
-            by = np.argsort(a * n + b, kind="stable")
-            open_, a, b = open_[by], a[by], b[by]
-            new_a = np.concatenate(([True], a[1:] != a[:-1]))
-            new = new_a | np.concatenate(([True], b[1:] != b[:-1]))
-            start = np.flatnonzero(new)
-            group = np.repeat(start, np.diff(np.append(start, len(open_))))
-            block_start = np.flatnonzero(new_a)
-            block = np.repeat(block_start, np.diff(np.append(block_start, len(open_))))
-            rank = rank.copy()
-            rank[open_] = (a + group - block).astype(np.int32)
-            sizes = np.diff(np.append(start, len(open_)))
-            open_ = open_[np.repeat(sizes > 1, sizes)]
-            step *= 2
-            yield rank
-
-    def suffixes(self, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix array, and the longest common prefix of each suffix with the one before it."""
-        n = len(self.tokens)
-        order = np.empty(n, np.int64)
-        order[levels[-1]] = np.arange(n)
-        lcp = np.zeros(n, np.int64)
-        if len(levels) > 1 and n < LARGE_TOKENS:
-            i, j, length = order[:-1], order[1:], np.zeros(n - 1, np.int64)
-            for k in range(len(levels) - 2, -1, -1):
-                rank = levels[k]
-                length += (rank[i + length] == rank[j + length]).astype(np.int64) << k
-            lcp[1:] = length
-        elif len(levels) > 1:
-            lcp[:] = _lcp_one_by_one(self.tokens, order, levels[-1])
-        return order, lcp
-
-    def repeats(self, levels: list[np.ndarray], min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: bytes within repeats of at least ``min_bytes``, and bytes of the longest repeat."""
-        n = len(self.tokens)
-        order, lcp = self.suffixes(levels)
-        deepest = np.maximum(lcp, np.append(lcp[1:], 0))
-        before = np.concatenate(([0], np.cumsum(self.sizes)))
-        size = before[order + deepest] - before[order]
-        long = np.flatnonzero((size >= min_bytes) & (deepest > 0))
-        starts, stops = order[long], order[long] + deepest[long]
-        change = np.zeros(n + 1, np.int64)
-        np.add.at(change, starts, 1)
-        np.add.at(change, stops, -1)
-        covered = np.where(np.cumsum(change[:-1]) > 0, self.sizes, 0)
-        longest = np.zeros(self.n_texts, np.int64)
-        np.maximum.at(longest, self.text_of[order], size)
-        return np.bincount(self.text_of, covered, self.n_texts).astype(np.int64), longest
 
     def repeated_windows(self, levels: list[np.ndarray], width: int = WINDOW_WORDS) -> np.ndarray:
         """Per text: tokens in windows of ``width`` (four tokens and more) that the text has twice or more."""
@@ -155,16 +92,104 @@ class Sequence:
         return np.bincount(self.text_of, np.cumsum(change[:-1]) > 0, self.n_texts).astype(np.int64)
 
     def levels(self) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for k, rank in enumerate(self.ranks()):
-            if len(self.tokens) >= LARGE_TOKENS and k > 3:
-                out[-1] = rank  # only the first levels and the last one are needed then
-            else:
-                out.append(rank)
+        """Ranks by the first 1, 2 and 4 tokens, or fewer if all suffixes are told apart by less."""
+        out = list(islice(_ranks(self.tokens, 1), 3))
         self._first_rank = out[0].astype(np.int64)
         return out
 
 
+def _ranks(keys: np.ndarray, step: int) -> Iterator[np.ndarray]:
+    """Ranks of suffixes by the first ``step`` tokens, which ``keys`` stand for, then by twice as
+    many and so on, until all are told apart."""
+    n = len(keys)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    rank = np.empty(n, np.int32)
+    sizes = np.diff(np.append(first, n))
+    rank[order] = np.repeat(first, sizes).astype(np.int32)
+    open_ = order[np.repeat(sizes > 1, sizes)]
+    yield rank
+    while len(open_):
+        # A suffix still open goes on for ``step`` tokens at least, so open_ + step is inside.
+        a, b = rank[open_].astype(np.int64), rank[open_ + step].astype(np.int64)
+        key = a * n + b
+        by = np.argsort(key)
+        open_, a, key = open_[by], a[by], key[by]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        block_start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        sizes = np.diff(np.append(start, len(open_)))
+        group = np.repeat(start, sizes)
+        block = np.repeat(block_start, np.diff(np.append(block_start, len(open_))))
+        rank = rank.copy()
+        rank[open_] = (a + group - block).astype(np.int32)
+        open_ = open_[np.repeat(sizes > 1, sizes)]
+        step *= 2
+        yield rank
+
+
+class Characters:
+    """Texts as one array of bytes, words with a blank between them, then a separator after each text."""
+
+    def __init__(self, texts: list[bytes]):
+        # No UTF-8 text holds the byte 255.
+        self.data = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8)
+        self.n_texts = len(texts)
+        lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        self.text_of = np.repeat(np.arange(len(texts)), lengths)
+        self.sizes = ((self.data != 32) & (self.data != 255)).astype(np.int64)
+
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix array, and the longest common prefix of each suffix with the one before it in its text."""
+        n, data = len(self.data), self.data
+        padded = np.concatenate((data, np.full(FIRST_BYTES, 255, np.uint8)))
+        keys = self.text_of.copy()
+        for k in range(FIRST_BYTES):
+            keys = (keys << 8) | padded[k : k + n]
+        levels: list[np.ndarray] = []
+        for rank in _ranks(keys, FIRST_BYTES):
+            if n >= LARGE_TOKENS:
+                levels.clear()  # only the last one is needed then
+            levels.append(rank)
+        order = np.empty(n, np.int64)
+        order[levels[-1]] = np.arange(n)
+        lcp = np.zeros(n, np.int64)
+        if n >= LARGE_TOKENS:
+            lcp[:] = _lcp_one_by_one((self.text_of << 8) | data, order, levels[-1])
+            return order, lcp
+        at = np.flatnonzero(self.text_of[order[1:]] == self.text_of[order[:-1]]) + 1
+        i, j, length = order[at - 1], order[at], np.zeros(len(at), np.int64)
+        for k in range(len(levels) - 2, -1, -1):
+            rank = levels[k]
+            length += np.where(rank[i + length] == rank[j + length], FIRST_BYTES << k, 0)
+        # What is left is shorter than the first prefixes; in one text no two separators meet.
+        more = np.arange(len(at))
+        for _ in range(FIRST_BYTES - 1):
+            more = more[data[i[more] + length[more]] == data[j[more] + length[more]]]
+            length[more] += 1
+        lcp[at] = length
+        return order, lcp
+
+    def repeats(self, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: bytes within repeats of at least ``min_bytes``, and bytes of the longest repeat."""
+        n = len(self.data)
+        order, lcp = self.suffixes()
+        deepest = np.maximum(lcp, np.append(lcp[1:], 0))
+        before = np.concatenate(([0], np.cumsum(self.sizes)))
+        inner = (self.data & 0xC0) == 0x80
+        if inner.any():  # spans start and stop with characters
+            place = np.maximum.accumulate(np.where(inner, 0, np.arange(n)))
+            deepest = np.where(inner[order], 0, place[order + deepest] - order)
+        size = before[order + deepest] - before[order]
+        long = np.flatnonzero((size >= min_bytes) & (deepest > 0))
+        starts, stops = order[long], order[long] + deepest[long]
+        change = np.bincount(starts, minlength=n + 1) - np.bincount(stops, minlength=n + 1)
+        covered = np.where(np.cumsum(change[:-1]) > 0, self.sizes, 0)
+        longest = np.zeros(self.n_texts, np.int64)
+        np.maximum.at(longest, self.text_of[order], size)
+        return np.bincount(self.text_of, covered, self.n_texts).astype(np.int64), longest
+
+
 def _lcp_one_by_one(tokens: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
     s, suffix, place = memoryview(tokens), memoryview(order), memoryview(rank)
     lcp, length, n = np.zeros(len(tokens), np.int64), 0, len(tokens)
@@ -183,31 +208,29 @@ def _lcp_one_by_one(tokens: np.ndarray, order: np.ndarray, rank: np.ndarray) ->
 
 
 def _fine(words: list[bytes]) -> list[bytes]:
-    """Words with the long ones as single characters."""
+    """What repeats are made of: the characters of words, with nothing, as a blank, between words."""
     out: list[bytes] = []
-    for word in words:
-        if len(word) > LONG_WORD:
-            out += [c.encode() for c in word.decode()]
-        else:
-            out.append(word)
+    for k, word in enumerate(words):
+        if k:
+            out.append(b"")
+        out += [c.encode() for c in word.decode()]
     return out
 
 
 def measure(texts: list[list[bytes]], min_bytes: int = MIN_REPEAT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts as lists of words: repeated words, covered bytes and longest repeat of each."""
-    repeated, covered, longest = (np.zeros(len(texts), np.int64) for _ in range(3))
-    odd = [any(len(w) > LONG_WORD for w in set(words)) for words in texts]
-    for wanted in (False, True):
-        own = [i for i, x in enumerate(odd) if x == wanted]
-        if not own:
-            continue
-        sequence = Sequence([texts[i] for i in own])
-        levels = sequence.levels()
-        repeated[own] = sequence.repeated_windows(levels)
-        if wanted:
-            sequence = Sequence([_fine(texts[i]) for i in own])
-            levels = sequence.levels()
-        covered[own], longest[own] = sequence.repeats(levels, min_bytes)
+    covered, longest = (np.zeros(len(texts), np.int64) for _ in range(2))
+    sequence = Sequence(texts)
+    repeated = sequence.repeated_windows(sequence.levels())
+    own, joined, size = [], [], 0
+    for i, words in enumerate(texts):
+        if words:
+            own.append(i)
+            joined.append(b" ".join(words))
+            size += len(joined[-1])
+        if own and (size >= BATCH_BYTES or len(own) >= BATCH_TEXTS or i + 1 == len(texts)):
+            covered[own], longest[own] = Characters(joined).repeats(min_bytes)
+            own, joined, size = [], [], 0
     return repeated, covered, longest
 
 

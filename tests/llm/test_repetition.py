@@ -68,3 +68,24 @@ def test_repeats_without_spaces_go(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:10] * 20)), (3, " ".join(words) + " " + "abcdefghij" * 300)]
     out = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: True, 2: False, 3: False}
+
+
+def test_repeats_do_not_depend_on_word_length(spark):
+    urls = " ".join(f"https://shop.example.com/catalog/electronics/item-{i:05d}" for i in range(200))
+    phrases = " ".join("日本語の文章がここにあります" + chr(0x4E00 + i) for i in range(200))
+    plain = " ".join(f"{i * 7919 % 100_003}" for i in range(2000))
+    rows = [(1, urls), (2, phrases), (3, plain)]
+    out = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["kept"] for i, r in out.items()} == {1: False, 2: False, 3: True}
+    assert out[1]["n_repeat_words"] == 0 and out[1]["covered_share"] > 0.99 and out[1]["longest_repeat_bytes"] >= 50
+
+
+def test_characters_against_brute_force(monkeypatch):
+    rng = random.Random(4)
+    for large in (1 << 20, 1):
+        monkeypatch.setattr(rp, "LARGE_TOKENS", large)
+        for _ in range(60):
+            texts = [["".join(rng.choice("abé日本") for _ in range(rng.randint(1, 6))).encode() for _ in range(rng.randint(0, 8))] for _ in range(rng.randint(1, 4))]
+            _, covered, most = measure(texts, 6)
+            for i, words in enumerate(texts):
+                assert (covered[i], most[i]) == longest(rp._fine(words), 6)
