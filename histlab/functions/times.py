@@ -76,6 +76,18 @@ def leading_int(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
 
 
+def date_format(c: Column) -> Column:
+    """``detect_date_format`` as a column; null where no format is recognised."""
+    n, third = F.length(c), F.substring(c, 3, 1)
+    first, second = leading_int(c), leading_int(c.substr(F.lit(4), F.lit(100)))
+    short = (n >= 8) & third.isin("/", ".")
+    kind = F.when((n >= 10) & (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-"), "iso")
+    for least, name in ((16, "chromium"), (13, "unix_ms"), (9, "unix")):
+        kind = kind.when(c.rlike(r"\A[0-9]+\z") & (n >= least), name)
+    kind = kind.when(short & (third == "/") & first.between(1, 12) & second.between(1, 31), "us")
+    return kind.when(short & first.between(1, 31) & second.between(1, 12), "eu")
+
+
 def import_date(c: Column, kind: str | None) -> Column:
     """ISO text of an imported date; text that does not parse stays as it is."""
     if kind is None:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import detect_date_format, import_date, leading_int, parse_iso
+from ..functions.times import date_format, import_date, leading_int, parse_iso
 from ..schema import conform
 
 SNIFF_BYTES, SNIFF_LINES = 8192, 16
@@ -81,7 +81,7 @@ def _first_rows(text: str, delimiter: str, n: int) -> list[list[str]]:
 
 
 def sniff(text: str, delimiter: str | None = None) -> Layout:
-    """The layout of a file from its start: delimiter, header, columns, and the format of its first date."""
+    """The layout of a file from its start: delimiter, header and columns."""
     text = text.removeprefix("﻿")
     delimiter = delimiter or detect_delimiter(text)
     rows = _first_rows(text, delimiter, 200)
@@ -95,34 +95,39 @@ def sniff(text: str, delimiter: str | None = None) -> Layout:
     header = bool(columns)
     if not header:
         columns = {c: i for i, c in enumerate(POSITIONS) if i < len(rows[0])}
-    at = columns.get("last_visit_time")
-    dates = [r[at] for r in rows[header:] if at is not None and at < len(r) and r[at]]
-    return Layout(delimiter, header, columns, detect_date_format(dates[0]) if dates else None)
+    return Layout(delimiter, header, columns)
 
 
 def read_csv(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
     """One file (or a folder of files with one layout) in the history schema.
 
     Rows without an address are dropped; counts below 1 become 1; text that is not UTF-8 is
-    taken as Latin-1. Dates have the format of the first one. The layout is found from the
-    first SNIFF_BYTES, which are all that reaches the driver.
+    taken as Latin-1. Dates have the format of the first one, among all rows with an address,
+    whose format is recognised; what stands before it stays as it is. The rest of the layout
+    is found from the first SNIFF_BYTES, which are all that reaches the driver.
     """
     layout = layout or sniff(head(spark, path))
     width = max([8, *(i + 1 for i in layout.columns.values())])
     schema = ", ".join(f"c{i} string" for i in range(width))
     options = {"sep": layout.delimiter, "quote": '"', "escape": '"', "multiLine": True, "ignoreTrailingWhiteSpace": True, "mode": "PERMISSIVE", "header": layout.header, "enforceSchema": True, "encoding": encoding_of(spark, path)}
-    raw = spark.read.options(**options).schema(schema).csv(path)
+    # The position is counted before any condition, as it moves on only where it is evaluated.
+    raw = spark.read.options(**options).schema(schema).csv(path).withColumn("pos", F.monotonically_increasing_id())
     value = lambda c: F.coalesce(F.col(f"c{layout.columns[c]}"), F.lit("")) if c in layout.columns else F.lit("")
     url = F.ltrim(F.regexp_replace(value("url"), "^﻿", ""))
     when = value("last_visit_time")
-    iso = F.when(when != "", import_date(when, layout.date_format)).otherwise("")
+    kind, since = layout.date_format, 0
+    if kind is None and "last_visit_time" in layout.columns:
+        dates = raw.select("pos", url.alias("url"), date_format(when).alias("kind"))
+        dates = dates.where(is_address(F.col("url")) & F.col("kind").isNotNull())
+        kind, since = dates.agg(F.min_by("kind", "pos"), F.min("pos")).first()
+    iso = F.when(F.col("pos") >= F.lit(since or 0), import_date(when, kind)).otherwise(when)
     rows = raw.select(
-        F.monotonically_increasing_id().alias("pos"),
+        "pos",
         url.alias("url"),
         value("title").alias("title"),
         F.greatest(leading_int(value("visit_count")), F.lit(1)).alias("visit_count"),
         leading_int(value("typed_count")).alias("typed_count"),
-        iso.alias("last_visit_time"),
+        F.when(when != "", iso).otherwise("").alias("last_visit_time"),
     )
     rows = rows.where(is_address(F.col("url")))
     return conform(rows.withColumns({"last_visit": parse_iso(F.col("last_visit_time")), "source": F.lit("csv")}))

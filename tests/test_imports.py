@@ -38,6 +38,26 @@ def test_csv(spark, tmp_path, name):
     assert [(r["url"], r["title"], r["visit_count"], r["typed_count"], r["last_visit_time"]) for r in rows] == want
 
 
+def test_csv_date_far_down(spark, tmp_path):
+    late = "".join(f"https://a.com/{i},{'x' * 40},1,\n" for i in range(400))
+    path = tmp_path / "late.csv"
+    path.write_text("url,title,visits,date\nhttps://z.com/,Z,1,5/6/2026\nno address,x,1,1745757490\n" + late + "https://b.com/,B,1,27/04/2026 13:38:10\nhttps://c.com/,C,1,05/04/2026\n")
+    times = {r["url"]: (r["last_visit_time"], r["last_visit"]) for r in csv_files.read_csv(spark, str(path)).collect()}
+    assert times["https://b.com/"][0] == "2026-04-27T13:38:10Z" and times["https://b.com/"][1] is not None
+    assert times["https://c.com/"][0] == "2026-04-05T00:00:00Z"
+    assert times["https://z.com/"][0] == "5/6/2026" and times["https://a.com/0"][0] == ""
+
+
+def test_date_format_column(spark):
+    from pyspark.sql import functions as F
+
+    from histlab.functions.times import date_format, detect_date_format
+
+    texts = ["2026-04-27", "1745757490", "1745757490000", "13380123456000000", "12345678", "04/27/2026", "27/04/2026", "27.04.2026", "5/6/2026", "13/13/2026", "", "99.99.2026", "x", "01-02-2026", "12/31/26", "2026-04-27T10:00:00Z"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", date_format(F.col("t")).alias("k")).collect()
+    assert {r["t"]: r["k"] for r in rows} == {x: detect_date_format(x) for x in texts}
+
+
 def test_latin1_csv(spark, tmp_path):
     path = tmp_path / "l.csv"
     path.write_bytes("url,title\nhttps://a.com/,café\n".encode("latin-1"))
