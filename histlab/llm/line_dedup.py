@@ -101,10 +101,12 @@ def line_dedup(
     on = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (mark == F.col("_gone_mark"))
     joined = docs.join(gone, on, "left")
     lines = F.split(text_of(text_col), "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
+    # The text is split once for all its lines: a lambda's argument is evaluated before its body.
+    staying = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone"))
+    joined_again = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(staying(ls), lambda i: F.get(ls, i)), "\n"))
     out = joined.select(
         *docs.columns,
-        F.when(F.col("_gone").isNull(), text_of(text_col)).otherwise(F.array_join(left, "\n")).alias(into),
+        F.when(F.col("_gone").isNull(), text_of(text_col)).otherwise(F.get(joined_again, F.lit(0))).alias(into),
         F.size(lines).cast("long").alias(lines_col),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(dropped_col),
     )

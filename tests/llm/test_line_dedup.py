@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -45,3 +46,14 @@ def test_odd(odd, none):
     assert line_dedup(none, prefix="_").count() == 0
     with pytest.raises(ValueError):
         line_dedup(odd)
+
+
+def test_many_lines_of_one_text(spark):
+    shared = "a line that many documents of this table share"
+    own = [f"line {i} of a very long text, which nothing else has at all" for i in range(60_000)]
+    rows = [(0, "\n".join([shared, *own, shared]))] + [(i, f"{shared}\nown {i}") for i in range(1, 6)]
+    began = time.monotonic()
+    out = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 60
+    assert out[0]["kept_text"] == "\n".join(own) and (out[0]["n_lines"], out[0]["n_dropped"]) == (60_002, 2)
+    assert out[5]["n_dropped"] == 0 and out[4]["kept_text"] == "own 4"
