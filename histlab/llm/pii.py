@@ -3,22 +3,26 @@
 Four base patterns are reported as they stand. Around signs of personal data (digits, @,
 spelled-out addresses) the text is cut into tokens, and a semi-Markov model scores whole
 candidate segments: features see the complete span (its digits, its shape, checksums, the
-words before it) rather than single tokens. A dynamic program over segments of bounded
-length chooses boundaries and types together; what it finds outside the base spans is added.
+words before it) rather than single tokens, and transitions see the types of neighbouring
+segments. A dynamic program over segments of bounded length chooses boundaries and types
+together; base spans are given, so candidates lie outside them.
 
 The weights are trained here, on labelled sentences that a seeded generator makes, by the
-structured perceptron with averaging over the same dynamic program.
+conditional log-likelihood: forward and backward sums over all segmentations give its
+gradient.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"[0-9]+")
 
 BASE = ("email", "ip", "card", "phone")
 #: All types of segments, in the order in which their spans are listed.
@@ -39,11 +44,15 @@ TYPES = (*BASE, "ssn", "iban")
 OTHER = "-"
 #: The longest segment in tokens.
 MAX_TOKENS = 14
-#: Code points around a sign that the model sees.
+#: Digits that the longest entity can have.
+MAX_DIGITS = 34
+#: Code points around a sign that the model sees; up to as many more are added to the next white space.
 MARGIN = 60
 SEED = 20240229
 SENTENCES = 1200
-EPOCHS = 3
+EPOCHS = 4
+BATCH = 60
+RATE, DECAY = 0.5, 1e-4
 
 Span = tuple[int, int]
 
@@ -57,7 +66,7 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return "".join(_RUN.findall(s))
 
 
 def emails(text: str) -> list[Span]:
@@ -84,7 +93,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
         found["email"] = emails(text)
     if _DIGIT.search(text):
         if "." in text:
-            found["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            found["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = _digits(m[0])
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -98,7 +107,6 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
 _SIGN = re.compile(r"@|\b[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}")
-_RUN = re.compile(r"[0-9]+")
 #: A spelled-out address from its `at` on.
 _AT = re.compile(r"(?i:\[at\]|\(at\)|\{at\}| at(?= ))")
 _BEHIND = re.compile(r"(?i) {0,2}[\w-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[\w-]+|\.[\w-]+)+")
@@ -168,31 +176,82 @@ def span_features(text: str, tokens: list[Span], i: int, j: int) -> list[str]:
 def candidate(text: str, tokens: list[Span], i: int, j: int) -> bool:
     """Whether a segment can be an entity at all: it holds a sign and stays on one line."""
     span = text[tokens[i][0] : tokens[j - 1][1]]
-    return "\n" not in span and ("@" in span or sum("0" <= c <= "9" for c in span) >= 7 or bool(_SHAPES["spelled"].fullmatch(span)))
-
-
-def segment(text: str, tokens: list[Span], weights: dict) -> list[tuple[int, int, str]]:
-    """The best segmentation: entities as (first token, end token, type)."""
+    digits = len(_digits(span))
+    return "\n" not in span and digits <= MAX_DIGITS and ("@" in span or digits >= 7 or bool(_SHAPES["spelled"].fullmatch(span)))
+
+
+def candidates(text: str, tokens: list[Span], closed: list[bool] | None = None) -> Iterator[Span]:
+    """All segments (first token, end token) that candidate() takes, but those with ``closed`` tokens."""
+    digits, ats, spelled = [0], [0], [0]
+    for a, b in tokens:
+        first = text[a]
+        digits.append(digits[-1] + (b - a if "0" <= first <= "9" else 0))
+        ats.append(ats[-1] + (first == "@"))
+        spelled.append(spelled[-1] + (b - a == 2 and text[a:b].lower() == "at"))
+    lines = [text.find("\n", a, b) >= 0 for (_, a), (b, _) in zip(tokens, tokens[1:], strict=False)] + [False]
     n = len(tokens)
-    best, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
     for i in range(n):
-        here = best[i]
-        if here > best[i + 1]:
-            best[i + 1], back[i + 1] = here, (i, OTHER)
         for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-            if not candidate(text, tokens, i, j):
-                continue
-            features = span_features(text, tokens, i, j)
-            for kind in TYPES:
-                score = here + sum(weights.get((kind, f), 0.0) for f in features)
-                if score > best[j]:
-                    best[j], back[j] = score, (i, kind)
+            if (closed and closed[j - 1]) or (j > i + 1 and lines[j - 2]) or digits[j] - digits[i] > MAX_DIGITS:
+                break
+            if digits[j] - digits[i] >= 7 or ats[j] > ats[i] or (spelled[j] > spelled[i] and _SHAPES["spelled"].fullmatch(text, tokens[i][0], tokens[j - 1][1])):
+                yield i, j
+
+
+#: Labels of segments: OTHER, always one token long and without features, and the types.
+LABELS = (OTHER, *TYPES)
+
+
+@dataclass
+class Model:
+    """Weights: per feature one for each type, and one for each pair of neighbouring labels."""
+
+    features: dict[str, list[float]]
+    moves: list[list[float]]
+
+    def scores(self, features: list[str]) -> list[float]:
+        out = [0.0] * len(TYPES)
+        for f in features:
+            own = self.features.get(f)
+            if own:
+                out = [x + y for x, y in zip(out, own, strict=True)]
+        return out
+
+
+def segment(text: str, tokens: list[Span], model: Model, closed: list[bool] | None = None) -> list[tuple[int, int, str]]:
+    """The best segmentation, by the Viterbi program over segments: entities as (first token, end token, type)."""
+    n, moves = len(tokens), model.moves
+    # Per place, for each label that a segment ending there can have: (score, start, label before).
+    best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+    best[0][0] = (0.0, -1, -1)
+    todo = candidates(text, tokens, closed)
+    at = next(todo, None)
+    for i in range(n):
+        here = best[i].items()
+
+        def into(y: int, here=here) -> tuple[float, int]:
+            return max((s[0] + moves[x][y], x) for x, s in here)
+
+        score, x = into(0)
+        if 0 not in best[i + 1] or score > best[i + 1][0][0]:
+            best[i + 1][0] = (score, i, x)
+        arrive = None
+        while at is not None and at[0] == i:
+            j = at[1]
+            arrive = arrive or [into(y) for y in range(1, len(LABELS))]
+            own, goal = model.scores(span_features(text, tokens, i, j)), best[j]
+            for y, (score, x) in enumerate(arrive, 1):
+                total = score + own[y - 1]
+                if y not in goal or total > goal[y][0]:
+                    goal[y] = (total, i, x)
+            at = next(todo, None)
     out, j = [], n
+    y = max((s[0], x) for x, s in best[n].items())[1]
     while j:
-        i, kind = back[j]
-        if kind != OTHER:
-            out.append((i, j, kind))
-        j = i
+        _, i, x = best[j][y]
+        if y:
+            out.append((i, j, LABELS[y]))
+        j, y = i, x
     return out[::-1]
 
 
@@ -264,33 +323,118 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     return text + word(), gold
 
 
-def train(seed: int = SEED, sentences: int = SENTENCES, epochs: int = EPOCHS) -> dict[tuple[str, str], float]:
-    """Averaged structured perceptron over generated sentences; equal seeds give equal weights."""
-    rng = random.Random(seed)
-    data = []
+class Lattice:
+    """Labelled sentences as arrays: all candidate segments with their features, and the gold ones.
+
+    Sums run over all segmentations at once, sentence by sentence side by side. A segment is
+    (sentence, first token, length), a label a number of LABELS; before the first token the
+    label is OTHER.
+    """
+
+    def __init__(self, data: list[tuple[str, list[Span], list[tuple[int, int, str]]]], names: dict[str, int]):
+        self.lengths = np.array([len(tokens) for _, tokens, _ in data])
+        places, rows, columns, gold = [], [], [], []
+        moves = np.zeros((len(LABELS), len(LABELS)))
+        for b, (text, tokens, entities) in enumerate(data):
+            number = {}
+            for i, j in candidates(text, tokens):
+                number[i, j] = len(places)
+                for f in span_features(text, tokens, i, j):
+                    rows.append(len(places))
+                    columns.append(names.setdefault(f, len(names)))
+                places.append((b, i, j - i - 1))
+            # What is no candidate counts as OTHER.
+            own = [(i, j, LABELS.index(kind)) for i, j, kind in entities if (i, j) in number]
+            gold += [(number[i, j], y - 1) for i, j, y in own]
+            labels, place = [0], 0
+            for i, j, y in own:
+                labels += [0] * (i - place) + [y]
+                place = j
+            labels += [0] * (len(tokens) - place)
+            np.add.at(moves, (labels[:-1], labels[1:]), 1)
+        self.places = np.array(places, np.int64).reshape(-1, 3)
+        self.rows, self.columns = np.array(rows, np.int64), np.array(columns, np.int64)
+        self.gold = np.zeros((len(places), len(TYPES)))
+        for k, y in gold:
+            self.gold[k, y] = 1
+        self.gold_moves = moves
+
+    def matrix(self, n: int) -> np.ndarray:
+        x = np.zeros((len(self.places), n))
+        x[self.rows, self.columns] = 1
+        return x
+
+    def likelihood(self, x: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The conditional log-likelihood of the gold segmentations, and its gradients."""
+        n_texts, n, labels = len(self.lengths), int(self.lengths.max(initial=0)), len(LABELS)
+        own = x @ weights
+        b, first, extra = self.places.T
+        scores = np.full((n_texts, n + 1, MAX_TOKENS, len(TYPES)), -np.inf)
+        scores[b, first, extra] = own
+
+        def total(values: np.ndarray, axis: int) -> np.ndarray:
+            top = values.max(axis, keepdims=True)
+            top = np.where(np.isfinite(top), top, 0.0)
+            with np.errstate(divide="ignore"):
+                return np.log(np.exp(values - top).sum(axis)) + top.squeeze(axis)
+
+        ahead = np.full((n_texts, n + 1, labels), -np.inf)  # all ways to a place, by the last label
+        enter = np.full((n_texts, n + 1, labels), -np.inf)  # the same, with the move to the next label
+        ahead[:, 0, 0] = 0.0
+        for j in range(n + 1):
+            if j:
+                size = np.arange(min(j, MAX_TOKENS))
+                ahead[:, j, 0] = enter[:, j - 1, 0]
+                ahead[:, j, 1:] = total(enter[:, j - 1 - size, 1:] + scores[:, j - 1 - size, size], 1)
+            enter[:, j] = total(ahead[:, j, :, None] + moves, 1)
+        whole = total(ahead[np.arange(n_texts), self.lengths], 1)
+
+        after = np.full((n_texts, n + 1, labels), -np.inf)  # all ways from a place, by the label before it
+        leave = np.full((n_texts, n + 1, labels), -np.inf)  # the same, by the label that starts there
+        for i in range(n, -1, -1):
+            if i < n:
+                size = np.arange(min(n - i, MAX_TOKENS))
+                leave[:, i, 0] = after[:, i + 1, 0]
+                leave[:, i, 1:] = total(scores[:, i, size] + after[:, i + 1 + size, 1:], 1)
+                after[:, i] = total(moves + leave[:, i, None, :], 2)
+            after[self.lengths == i, i] = 0.0
+        share = np.exp(enter[b, first, 1:] + own + after[b, first + extra + 1, 1:] - whole[b, None])
+        inside = np.arange(n + 1) < self.lengths[:, None]
+        pairs = np.where(inside[..., None, None], ahead[..., None] + moves + leave[:, :, None, :] - whole[:, None, None, None], -np.inf)
+        value = float((own * self.gold).sum() + (moves * self.gold_moves).sum() - whole.sum())
+        return value, x.T @ (self.gold - share), self.gold_moves - np.exp(pairs).sum((0, 1))
+
+
+def labelled_sentences(seed: int, sentences: int) -> list[tuple[str, list[Span], list[tuple[int, int, str]]]]:
+    """(text, tokens, entities by tokens) that the generator makes."""
+    rng, out = random.Random(seed), []
     for _ in range(sentences):
         text, gold = _sentence(rng)
         tokens = tokens_of(text)
         starts, stops = {a: k for k, (a, _) in enumerate(tokens)}, {b: k + 1 for k, (_, b) in enumerate(tokens)}
-        data.append((text, tokens, [(starts[a], stops[b], kind) for a, b, kind in gold if a in starts and b in stops]))
-    weights: dict[tuple[str, str], float] = {(kind, "bias"): -1.0 for kind in TYPES}
-    total: dict[tuple[str, str], float] = defaultdict(float)
-    step = 1
+        out.append((text, tokens, [(starts[a], stops[b], kind) for a, b, kind in gold if a in starts and b in stops]))
+    return out
+
+
+def train(seed: int = SEED, sentences: int = SENTENCES, epochs: int = EPOCHS) -> Model:
+    """Maximise the conditional log-likelihood, with a pull to zero, by adaptive steps; equal seeds give equal weights."""
+    data, names = labelled_sentences(seed, sentences), {}
+    parts = [Lattice(data[k : k + BATCH], names) for k in range(0, len(data), BATCH)]
+    parts = [(part, part.matrix(len(names))) for part in parts]
+    values = [np.zeros((len(names), len(TYPES))), np.zeros((len(LABELS), len(LABELS)))]
+    squares = [np.full_like(v, 1e-6) for v in values]
     for _ in range(epochs):
-        for text, tokens, gold in data:
-            found = segment(text, tokens, weights)
-            for entities, sign in ((gold, 1.0), (found, -1.0)):
-                if gold != found:
-                    for i, j, kind in entities:
-                        for f in span_features(text, tokens, i, j):
-                            weights[kind, f] = weights.get((kind, f), 0.0) + sign
-                            total[kind, f] += sign * step
-            step += 1
-    return {k: v - total[k] / step for k, v in weights.items()}
+        for part, x in parts:
+            _, *slopes = part.likelihood(x, *values)
+            for v, q, slope in zip(values, squares, slopes, strict=True):
+                step = slope / len(part.lengths) - DECAY * v
+                q += step * step
+                v += RATE * step / np.sqrt(q)
+    return Model({f: values[0][k].tolist() for f, k in names.items()}, values[1].tolist())
 
 
 @lru_cache(maxsize=1)
-def weights() -> dict[tuple[str, str], float]:
+def weights() -> Model:
     return train()
 
 
@@ -322,8 +466,21 @@ def spelled_signs(text: str) -> Iterator[Span]:
             yield start, behind.end()
 
 
+def _edge(text: str, at: int, step: int) -> int:
+    """``at``, or the next white space from there within MARGIN."""
+    for k in range(at, at + MARGIN * step, step):
+        if not 0 < k < len(text):
+            return max(0, min(len(text), k))
+        if text[k - (step < 0)].isspace():
+            return k
+    return at
+
+
 def regions(text: str) -> list[Span]:
-    """Stretches around the signs, joined where they meet; whatever can be a candidate has a sign."""
+    """Stretches around the signs, joined where they meet; whatever can be a candidate has a sign.
+
+    They end at white space where there is some near, so that words are not cut.
+    """
     out: list[Span] = []
     for a, b in sorted([*(m.span() for m in _SIGN.finditer(text)), *digit_signs(text), *spelled_signs(text)]):
         start, stop = max(0, a - MARGIN), min(len(text), b + MARGIN)
@@ -331,15 +488,39 @@ def regions(text: str) -> list[Span]:
             out[-1] = (out[-1][0], max(stop, out[-1][1]))
         else:
             out.append((start, stop))
+    joined: list[Span] = []
+    for a, b in out:
+        start, stop = _edge(text, a, -1), _edge(text, b, 1)
+        if joined and start <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(stop, joined[-1][1]))
+        else:
+            joined.append((start, stop))
+    return joined
+
+
+def _union(spans: list[Span]) -> list[Span]:
+    out: list[Span] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-def model_spans(text: str, weights: dict) -> list[tuple[int, int, str]]:
-    out = []
+def model_spans(text: str, model: Model, taken: list[Span]) -> list[tuple[int, int, str]]:
+    """Spans that the model finds outside ``taken``, which are sorted and apart."""
+    out, starts = [], [a for a, _ in taken]
+
+    def meets(a: int, b: int) -> bool:
+        k = bisect_right(starts, b - 1) - 1
+        return k >= 0 and taken[k][1] > a
+
     for start, stop in regions(text):
         part = text[start:stop]
         tokens = tokens_of(part)
-        for i, j, kind in segment(part, tokens, weights):
+        closed = [meets(a + start, b + start) for a, b in tokens] if taken else None
+        for i, j, kind in segment(part, tokens, model, closed):
             # A segment at the very edge of a region may have been cut; only inner ones count.
             a, b = tokens[i][0] + start, tokens[j - 1][1] + start
             if (a > start or start == 0) and (b < stop or stop == len(text)):
@@ -347,15 +528,10 @@ def model_spans(text: str, weights: dict) -> list[tuple[int, int, str]]:
     return out
 
 
-def find(text: str, weights: dict) -> tuple[dict[str, list[Span]], list[tuple[int, int, str]]]:
+def find(text: str, model: Model) -> tuple[dict[str, list[Span]], list[tuple[int, int, str]]]:
     """Base spans by kind, and the spans that the model adds: those that meet no base span."""
     base = base_spans(text)
-    taken = sorted(s for spans in base.values() for s in spans)
-    added = []
-    for a, b, kind in model_spans(text, weights):
-        if not any(x < b and a < y for x, y in taken):
-            added.append((a, b, kind))
-    return base, added
+    return base, model_spans(text, model, _union([s for spans in base.values() for s in spans]))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

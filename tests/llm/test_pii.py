@@ -1,5 +1,10 @@
+import itertools
+import math
 import random
 import re
+import time
+
+import numpy as np
 
 from histlab.llm import pii
 
@@ -22,9 +27,27 @@ def test_base_is_exact():
         assert pii.base_spans(text) == naive(text), text
 
 
-def test_scan_is_linear():
+def test_long_texts_take_linear_time():
+    """Twice the text takes about twice the time, whatever it repeats."""
+    model = pii.weights()
+
+    def seconds(work, text):
+        began = time.process_time()
+        work(text)
+        return time.process_time() - began
+
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 50_000):
-        assert sum(map(len, pii.base_spans(text).values())) >= 0
+        assert seconds(pii.base_spans, text * 2) < 5 * seconds(pii.base_spans, text) + 0.5, text[:9]
+    for text in ("a@b.c " * 10_000, "123 4567 " * 2000, "a at b dot c " * 2000, "+49 123 456 7890, " * 2000, "x" * 100_000):
+        assert seconds(lambda t: pii.find(t, model), text * 2) < 5 * seconds(lambda t: pii.find(t, model), text) + 1, text[:9]
+    base, added = pii.find("a@b.c " * 100_000, model)
+    assert len(base["email"]) == 100_000 and not added
+
+
+def test_very_long_numbers():
+    assert pii.base_spans("1.2.3." + "0" * 5000) == {"email": [], "ip": [(0, 5006)], "card": [], "phone": []}
+    assert not any(pii.base_spans("1.2.3." + "9" * 5000).values())
+    assert pii.base_spans("0" * 5000 + "1.2.3.255")["ip"] == [(0, 5009)] and not pii.base_spans("1.2.3.256")["ip"]
 
 
 def test_model_on_new_sentences():
@@ -38,24 +61,95 @@ def test_model_on_new_sentences():
     assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.93
 
 
+def segmentations(text, tokens, i=0):
+    """All of them, as lists of (first token, end token, label number)."""
+    if i == len(tokens):
+        yield []
+        return
+    for rest in segmentations(text, tokens, i + 1):
+        yield [(i, i + 1, 0), *rest]
+    for j in range(i + 1, min(len(tokens), i + pii.MAX_TOKENS) + 1):
+        if pii.candidate(text, tokens, i, j):
+            for rest in segmentations(text, tokens, j):
+                for y in range(1, len(pii.LABELS)):
+                    yield [(i, j, y), *rest]
+
+
+def score(text, tokens, model, segments):
+    labels = [0, *(y for _, _, y in segments)]
+    total = sum(model.moves[x][y] for x, y in itertools.pairwise(labels))
+    return total + sum(model.scores(pii.span_features(text, tokens, i, j))[y - 1] for i, j, y in segments if y)
+
+
+SHORT = ("bob@x.org or 555-1234 12", "call 5551234 5557654", "a at b dot c 12 34567", "no sign here", "@ 1234567 @", "1234 5678\n99")
+
+
 def test_dynamic_program_is_the_best_segmentation():
-    rng, weights = random.Random(8), pii.weights()
-
-    def best(text, tokens, i):
-        if i == len(tokens):
-            return 0.0
-        out = best(text, tokens, i + 1)
-        for j in range(i + 1, min(len(tokens), i + pii.MAX_TOKENS) + 1):
-            if pii.candidate(text, tokens, i, j):
-                features = pii.span_features(text, tokens, i, j)
-                out = max(out, max(sum(weights.get((k, f), 0.0) for f in features) for k in pii.TYPES) + best(text, tokens, j))
-        return out
-
-    for _ in range(40):
-        text, _ = pii._sentence(rng)
-        tokens = pii.tokens_of(text)[:14]
-        made = sum(sum(weights.get((k, f), 0.0) for f in pii.span_features(text, tokens, i, j)) for i, j, k in pii.segment(text, tokens, weights))
-        assert abs(made - best(text, tokens, 0)) < 1e-9
+    model = pii.weights()
+    for text in SHORT:
+        tokens = pii.tokens_of(text)
+        found, place, made = pii.segment(text, tokens, model), 0, []
+        for i, j, kind in found:
+            made += [(k, k + 1, 0) for k in range(place, i)] + [(i, j, pii.LABELS.index(kind))]
+            place = j
+        made += [(k, k + 1, 0) for k in range(place, len(tokens))]
+        assert abs(score(text, tokens, model, made) - max(score(text, tokens, model, s) for s in segmentations(text, tokens))) < 1e-9
+
+
+def lattice(rng, texts):
+    """A lattice over the texts with random gold segments, and random weights."""
+    data = []
+    for text in texts:
+        tokens, place, gold = pii.tokens_of(text), 0, []
+        for i, j in pii.candidates(text, tokens):
+            if i >= place and rng.random() < 0.2:
+                gold.append((i, j, rng.choice(pii.TYPES)))
+                place = j
+        data.append((text, tokens, gold))
+    names = {}
+    made = pii.Lattice(data, names)
+    own = np.random.default_rng(1)
+    return data, made, names, own.normal(size=(len(names), len(pii.TYPES))), own.normal(size=(len(pii.LABELS),) * 2)
+
+
+def test_partition_function_counts_every_segmentation():
+    for text in SHORT:
+        data, made, names, weights, moves = lattice(random.Random(3), [text])
+        model = pii.Model({f: weights[k].tolist() for f, k in names.items()}, moves.tolist())
+        (_, tokens, gold), place, own = data[0], 0, []
+        for i, j, kind in gold:
+            own += [(k, k + 1, 0) for k in range(place, i)] + [(i, j, pii.LABELS.index(kind))]
+            place = j
+        own += [(k, k + 1, 0) for k in range(place, len(tokens))]
+        whole = math.log(sum(math.exp(score(text, tokens, model, s)) for s in segmentations(text, tokens)))
+        assert abs(made.likelihood(made.matrix(len(names)), weights, moves)[0] - (score(text, tokens, model, own) - whole)) < 1e-8
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = random.Random(5)
+    _, made, names, weights, moves = lattice(rng, [*SHORT, *(pii._sentence(rng)[0] for _ in range(6))])
+    x = made.matrix(len(names))
+    _, slope, slope_moves = made.likelihood(x, weights, moves)
+    for values, slopes in ((weights, slope), (moves, slope_moves)):
+        for _ in range(25):
+            k = rng.randrange(values.shape[0]), rng.randrange(values.shape[1])
+            kept, step = values[k], 1e-5
+            values[k] = kept + step
+            up = made.likelihood(x, weights, moves)[0]
+            values[k] = kept - step
+            down = made.likelihood(x, weights, moves)[0]
+            values[k] = kept
+            assert abs((up - down) / (2 * step) - slopes[k]) < 1e-4
+
+
+def test_candidates_are_those_of_the_definition():
+    rng = random.Random(12)
+    bits = ["bob", " ", "1", "23", "4567", "_", "@", " at ", "[at]", " (AT) ", ".", " dot ", "[dot]", "\n", "-", ", ", "٣", "9" * 20]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        tokens = pii.tokens_of(text)
+        want = [(i, j) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + pii.MAX_TOKENS) + 1) if pii.candidate(text, tokens, i, j)]
+        assert list(pii.candidates(text, tokens)) == want, text
 
 
 def test_odd(odd, none):
