@@ -23,7 +23,8 @@ HEX = r"[0-9a-f]{24,}"
 
 #: Patterns of the weak candidates.
 LOGIN = r"""(?i:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-OPAQUE = r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: An opaque string needs a digit and letters of either case; that is tested on whole runs, so a run is read once.
+OPAQUE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ENDPOINT = r"(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20\x22'<>]+"
 
 #: Kinds in the order in which spans with the same start are listed.
@@ -40,26 +41,36 @@ def match_spans(df: DataFrame, text: str, kind: str, pattern: str, gate: Column
     """Add column ``kind``: array of (start, stop) of the leftmost matches, in code points.
 
     Splitting at the pattern gives what lies between the matches, so starts are prefix sums
-    of lengths; they are summed in blocks, which keeps texts with very many matches cheap.
+    of lengths. They are summed in blocks, and blocks in larger blocks, which keeps texts with
+    millions of matches cheap.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     none = F.array().cast("array<string>")
     df = df.withColumn("_found", found if gate is None else F.when(gate, found).otherwise(none))
     gaps = F.transform(F.slice(F.split(F.col(text), pattern, -1), 1, F.size("_found")), lambda x: F.length(x))
     df = df.withColumn("_gaps", F.when(F.size("_found") > 0, gaps).otherwise(F.array().cast("array<int>")))
-    step = F.zip_with("_gaps", "_found", lambda gap, m: gap + F.length(m))
-    df = df.withColumn("_steps", step)
+    df = df.withColumn("_steps", F.zip_with("_gaps", "_found", lambda gap, m: gap + F.length(m)))
 
     def total(part: Column) -> Column:
         return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
-    blocks = F.sequence(F.lit(0), F.expr(f"(size(_steps) + {_BLOCK - 1}) div {_BLOCK}").cast("int"))
-    df = df.withColumn("_sums", F.transform(blocks, lambda b: total(F.slice(F.col("_steps"), b * _BLOCK + 1, F.lit(_BLOCK)))))
-    df = df.withColumn("_bases", F.transform(blocks, lambda b: total(F.slice(F.col("_sums"), F.lit(1), b))))
+    def blocks(values: str) -> Column:
+        return F.sequence(F.lit(0), F.expr(f"(size({values}) + {_BLOCK - 1}) div {_BLOCK}").cast("int"))
 
-    def span(gap: Column, i: Column) -> Column:
+    def sums(values: str) -> Column:
+        return F.transform(blocks(values), lambda b: total(F.slice(F.col(values), b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def before(values: str, bases: str, i: Column) -> Column:
+        """The sum of the first ``i`` values, whose blocks start from ``bases``."""
         block = F.floor(i / _BLOCK).cast("int")
-        start = F.get(F.col("_bases"), block) + total(F.slice(F.col("_steps"), block * _BLOCK + 1, i - block * _BLOCK)) + gap
+        return F.get(F.col(bases), block) + total(F.slice(F.col(values), block * _BLOCK + 1, i - block * _BLOCK))
+
+    df = df.withColumn("_sums", sums("_steps")).withColumn("_tops", sums("_sums"))
+    df = df.withColumn("_highs", F.transform(blocks("_sums"), lambda b: total(F.slice(F.col("_tops"), F.lit(1), b))))
+    df = df.withColumn("_bases", F.transform(blocks("_steps"), lambda b: before("_sums", "_highs", b)))
+
+    def span(gap: Column, i: Column) -> Column:
+        start = before("_steps", "_bases", i) + gap
         match = F.get(F.col("_found"), i)
         return F.struct(start.alias("start"), (start + F.length(match)).alias("stop"), match.alias("match"))
 
@@ -68,7 +79,7 @@ def match_spans(df: DataFrame, text: str, kind: str, pattern: str, gate: Column
         spans = F.filter(spans, lambda s: keep(s["match"]))
     spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
     empty = F.array().cast("array<struct<start:int,stop:int>>")
-    return df.withColumn(kind, F.when(F.size("_found") > 0, spans).otherwise(empty)).drop("_found", "_gaps", "_steps", "_sums", "_bases")
+    return df.withColumn(kind, F.when(F.size("_found") > 0, spans).otherwise(empty)).drop("_found", "_gaps", "_steps", "_sums", "_tops", "_highs", "_bases")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -84,7 +95,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = match_spans(df, "text", "login", LOGIN, sign)
     df = match_spans(df, "text", "endpoint", ENDPOINT, t.contains("://"))
     some = (F.size("access") > 0) | (F.size("login") > 0) | (F.size("endpoint") > 0)
-    df = match_spans(df, "text", "opaque", OPAQUE, some)
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
+    df = match_spans(df, "text", "opaque", OPAQUE, some, mixed)
     return df.select("id", "mark", *KINDS)
 
 
