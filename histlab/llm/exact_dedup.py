@@ -1,11 +1,14 @@
 """Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Every input partition contributes to one run of digests. A run is partitioned by the
-leading byte of the digest, sorted, and reduced to one row per digest that retains the
-smallest identifier and the number of rows. Rounds then merge FAN_IN neighbouring runs at
-a time, as a binomial tree with merged levels, until a single run is left. Each level
-groups by SHA-256 and by the length of the normalised text, so rows merge only where both
-agree, and a hot text shrinks to one row per run before anything is shuffled.
+Every input partition contributes to one run of digests, which is sorted and reduced to one
+row per digest that retains the smallest identifier and the number of rows; so a hot text
+shrinks to one row per run before anything else. Runs are then exchanged by the leading
+bytes of the digest: each task gets its range of every run, in order. Rounds merge FAN_IN
+neighbouring runs at a time, as a binomial tree with merged levels, until a single run is
+left. The number of a run is written in digits of base FAN_IN that come last in the order,
+so equal digests of runs to be merged stand next to each other and every level streams over
+what the level before put out: no level sorts or exchanges again. Each level compares
+SHA-256 and the length of the normalised text, so rows merge only where both agree.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from .common import SPACE_CLASS, materialize, text_of
 
 RUNS = 64
 FAN_IN = 4
+#: Leading bytes of the digest that say where a row goes.
+LEAD_BYTES = 2
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS) -> DataFrame:
@@ -32,16 +37,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
 
 def merge_runs(rows: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """Merge runs of (run, row, id, sha, size) in rounds; returns sha, size, first, copies."""
-    head = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    level = rows.select("run", F.substring("sha", 1, 1).alias("lead"), "sha", "size", head.alias("first"), F.lit(1).cast("long").alias("copies"))
+    head = F.struct(F.col("id").isNull().alias("no_id"), "id", "row").alias("first")
+    digits = []
+    while fan_in ** len(digits) < runs:
+        k = len(digits)
+        digits.insert(0, F.expr(f"run div {fan_in**k} % {fan_in}").cast("int").alias(f"digit{k}"))
+    key = ["lead", "sha", "size", *(f"digit{k}" for k in reversed(range(len(digits))))]
+    level = rows.select(F.substring("sha", 1, LEAD_BYTES).alias("lead"), "sha", "size", *digits, head, F.lit(1).cast("long").alias("copies"))
 
     def merged(level: DataFrame) -> DataFrame:
-        return level.groupBy("run", "lead", "sha", "size").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
+        return level.groupBy(*key).agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
 
-    level = merged(level)
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        level = merged(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")))
+    level = merged(level).repartition("lead")
+    for _ in digits:
+        key.pop()
+        level = merged(level)
     return level.select("sha", "size", "first", "copies")
 
 

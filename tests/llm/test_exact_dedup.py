@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from histlab.llm.exact_dedup import exact_dedup
+from histlab.llm.exact_dedup import digests, exact_dedup, merge_runs
 
 
 def brute(rows):
@@ -37,3 +37,14 @@ def test_many_runs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)
     check(exact_dedup(df), rows)
     check(exact_dedup(df, runs=8, fan_in=2), rows)
+    check(exact_dedup(df, runs=5, fan_in=3), rows)
+    check(exact_dedup(df, runs=1), rows)
+
+
+def test_levels_neither_sort_nor_exchange(spark):
+    """However many rounds: sorted runs are made, exchanged once and brought in order once."""
+    rows = digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    plans = [merge_runs(rows, runs, fan_in)._jdf.queryExecution().executedPlan().toString() for runs, fan_in in ((64, 4), (64, 2), (1024, 2))]
+    for plan in plans:
+        assert plan.count("Sort [") == 3 and plan.count("Exchange hashpartitioning") == 2 and "Arrow" not in plan
+    assert plans[2].count("SortAggregate") > plans[1].count("SortAggregate") > plans[0].count("SortAggregate")
