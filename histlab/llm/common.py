@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch sent to Python. Texts may be long, so batches stay small.
 BATCH_ROWS = 256
 
-#: Tables up to this many bytes on disk may be broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 16 << 20
+#: Tables up to this many bytes on disk, and up to so many in memory, may be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES, BROADCAST_MEMORY = 16 << 20, 64 << 20
+#: What a row takes in memory beside its columns.
+ROW_OVERHEAD = 16
 
 #: The six ASCII white-space characters that every contract of this package names.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -104,9 +106,18 @@ def stored_bytes(df: DataFrame) -> int:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of a stored table only after its size has been checked."""
-    return F.broadcast(df) if stored_bytes(df) <= limit else df
+def broadcast_if_small(df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Hint a broadcast of a stored table, or of columns of ``stored``, only after its size has been checked.
+
+    Compressed, it may take BROADCAST_BYTES; in memory its rows, with their width by the schema
+    or four times what they take on disk, may take BROADCAST_MEMORY.
+    """
+    table = df if stored is None else stored
+    on_disk = stored_bytes(table)
+    if on_disk > BROADCAST_BYTES:
+        return df
+    width = df._jdf.schema().defaultSize() + ROW_OVERHEAD
+    return F.broadcast(df) if max(4 * on_disk, table.count() * width) <= BROADCAST_MEMORY else df
 
 
 def text_of(name: str = "text") -> Column:

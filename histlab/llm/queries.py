@@ -64,7 +64,7 @@ def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_grouped_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shingle_join import jaccard_join
 
-    return jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90, links=True)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

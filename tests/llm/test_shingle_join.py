@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -17,7 +18,7 @@ def sets_of(rows, width):
 
 
 def brute(rows, width, percent):
-    sets, root = sets_of(rows, width), list(range(len(rows)))
+    sets, root, links = sets_of(rows, width), list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
@@ -28,15 +29,17 @@ def brute(rows, width, percent):
         both = len(sets[a] & sets[b])
         if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             root[find(a)] = find(b)
+            links[a] += 1
+            links[b] += 1
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
-    return sorted(((i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
+    return sorted(((i, len(sets[k]), least.get(find(k)), links[k]) for k, (i, _) in enumerate(rows)), key=str)
 
 
 def got(df, width, percent):
-    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in sj.jaccard_join(df, width=width, percent=percent).collect()), key=str)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in sj.jaccard_join(df, width=width, percent=percent, links=True).collect()), key=str)
 
 
 def corpus(seed, n=18):
@@ -57,14 +60,49 @@ def corpus(seed, n=18):
     return rows
 
 
-@pytest.mark.parametrize("seed, width, percent", [(1, 3, 90), (2, 5, 80), (3, 2, 60)])
-def test_random(spark, monkeypatch, seed, width, percent):
+@pytest.mark.parametrize("seed, width, percent, block", [(1, 3, 90, None), (2, 5, 80, 1 << 14), (3, 2, 60, 1 << 13), (4, 3, 90, 4096)])
+def test_random(spark, monkeypatch, seed, width, percent, block):
     monkeypatch.setattr(sj, "FREQUENT", 4)  # so that small tables have frequent shingles
+    if block:  # and large buckets
+        monkeypatch.setattr(sj, "BLOCK_BYTES", block)
+        monkeypatch.setattr(sj, "CELLS", 300)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(df, width, percent) == brute(rows, width, percent)
 
 
+def test_crowded_groups(spark, monkeypatch):
+    """Texts with equal prefixes and other bodies, one shingle in all of them, and filters of few bits."""
+    monkeypatch.setattr(sj, "FREQUENT", 4)
+    monkeypatch.setattr(sj, "FILTER_BITS", 3)
+    seen = []
+    rest = sj._rest
+    monkeypatch.setattr(sj, "_rest", lambda *a: (lambda out: (seen.append(out[1].count()), out)[1])(rest(*a)))
+    rng, rows = random.Random(31), []
+    passages = [[f"p{k}x{i}" for i in range(40)] for k in range(5)]
+    for k in range(12):
+        head = [f"h{k}x{i}" for i in range(60)]
+        for _ in range(4):
+            body = [w for p in rng.sample(passages, 2) for w in p]
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                body[rng.randrange(len(body))] = rng.choice(passages[0])
+            rows.append((len(rows), " ".join(["in all of them", *head, *body])))
+    rows += [(len(rows) + k, rows[k][1]) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df, 3, 90) == brute(rows, 3, 90)
+    assert seen[0] > 0
+
+
+def test_overlaps():
+    rng = random.Random(7)
+    sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randint(1, 40))], np.uint64)) for _ in range(30)]
+    for left, right in ((sets[:11], sets[11:]), (sets, None)):
+        found = sj.overlaps(left, right)
+        for i, a in enumerate(left):
+            for j, b in enumerate(left if right is None else right):
+                assert found[i, j] == len(np.intersect1d(a, b)) or (right is None and i == j)
+
+
 def test_odd(odd, none):
     from .conftest import texts_of
 
