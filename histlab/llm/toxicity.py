@@ -3,9 +3,10 @@
 The lexicon is learned from labelled documents: words, and stems of words, that are much
 more frequent in toxic documents. It is kept as a trie. The Levenshtein automaton of the
 lexicon's entries is run in step with the trie: a state is a set of trie nodes with the
-edits used to reach them. States and moves are made when a text first needs them and then
-remembered, so most words fail after a few letters, and misspelled terms are found at the
-cost of exact ones. Each hit is judged by the window of tokens around it: quotation marks
+edits used to reach them, any letter of an entry included. States and moves are made when a
+text first needs them and then remembered, so most words fail after a few letters, and
+misspelled terms are found at the cost of exact ones. How many edits an entry allows follows
+its length, and is less where more than MAX_NEAR words of clean documents are as near. Each hit is judged by the window of tokens around it: quotation marks
 and reporting words speak for a quotation, direct address for abuse. A logistic model over
 the counts of hits of each sort gives the score.
 """
@@ -17,23 +18,29 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import map_batches, materialize, release
 
 #: Terms of abuse that need no training, as a start.
 GENERAL_TERMS = ("dumbass", "idiot", "imbecile", "moron", "scumbag")
 
 #: Bounds of the labelled sample: documents of either label, by the smallest hash of the id.
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
-#: Words and stems that are considered for the lexicon, by toxic documents.
-MAX_CANDIDATES = 600
+#: Bounds of what the fit takes from the sample: words and stems considered for the lexicon, by
+#: toxic documents; and words of clean documents near an entry, by clean documents.
+MAX_CANDIDATES, MAX_LOOKALIKES = 600, 100_000
+#: So many words of clean documents may be as near to an entry as its edits allow; else it allows fewer.
+MAX_NEAR = 25
 MIN_DOCS, MIN_SHARE, MIN_LIFT = 3, 0.01, 50.0
 STEM_LETTERS = (4, 5, 6, 7)
+#: A word that a chosen stem begins is an entry of its own if it is in this share of the stem's documents.
+MIN_PART = 0.4
 #: A toxic document is told by this many terms at most when the lexicon is chosen.
 COVERS = 3
 
@@ -42,9 +49,10 @@ QUOTES = "\"“”„«»‹›‘’"
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes term word slur dit écrit sagte schrieb nannte dijo escribió".split())
 DIRECT = frozenset("you your you're vous toi dich usted ustedes".split())
 
-#: Sorts of hits: exact words, stems, misspelled words, those in quotation, those with direct address.
-FEATURES = ("exact", "stem", "fuzzy", "quoted", "direct")
-PRIOR = (-3.0, 4.0, 4.0, 2.0, 0.5, 1.0)
+#: Sorts of hits: exact words, stems, misspelled words and stems, those in quotation, those with direct address.
+FEATURES = ("exact", "stem", "fuzzy", "fuzzy_stem", "quoted", "direct")
+QUOTED, DIRECT_AT = FEATURES.index("quoted"), FEATURES.index("direct")
+PRIOR = (-3.0, 4.0, 4.0, 2.0, 1.0, 0.5, 1.0)
 
 #: Words a worker remembers, and moves of the automaton.
 REMEMBERED_WORDS = 300_000
@@ -53,45 +61,56 @@ REMEMBERED_MOVES = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LEET = str.maketrans("013457@$", "oieastas")
 
-Entry = tuple[str, bool]  # text; whether it is a stem
+class Entry(NamedTuple):
+    """A term; a stem stands for all words that begin with it."""
 
+    text: str
+    stem: bool
+    edits: int
 
-def edits_for(entry: Entry) -> int:
-    text, stem = entry
-    return 0 if stem or len(text) < 5 else 1 if len(text) < 9 else 2
 
+def entry(text: str, stem: bool = False) -> Entry:
+    """An entry with the edits that its length allows."""
+    return Entry(text, stem, 0 if len(text) < 4 else 1 if stem or len(text) < 9 else 2)
 
-class LexiconAutomaton:
-    """The lexicon's trie and its entries' Levenshtein automata, run together over a word.
 
-    The first letter has to agree. ``match`` gives the entry and the edits, or None.
-    """
+class LexiconAutomaton:
+    """The lexicon's trie and its entries' Levenshtein automata, run together over a word."""
 
     def __init__(self, entries: Sequence[Entry]):
         self.entries = list(entries)
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
-        self.limit = [0]
-        for number, entry in enumerate(self.entries):
+        self.limit = [max((e.edits for e in self.entries), default=0)]
+        for number, own in enumerate(self.entries):
             node = 0
-            for letter in entry[0]:
+            for letter in own.text:
                 if letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.ends.append([])
                     self.limit.append(0)
                 node = self.children[node][letter]
-                self.limit[node] = max(self.limit[node], edits_for(entry))
+                self.limit[node] = max(self.limit[node], own.edits)
             self.ends[node].append(number)
         self._reset()
 
     def _reset(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
-        self.accepts: list[tuple[int, int] | None] = []
-        self.stems: list[int | None] = []
+        #: Per state, (edits, entry) of words that end there and of stems, the best first.
+        self.words: list[list[tuple[int, int]]] = []
+        self.stems: list[list[tuple[int, int]]] = []
         self.moves: dict[tuple[int, str], int] = {}
-        self._number({0: 0})
+        start: dict[int, int] = {}
+        self._reach(start, 0, 0)
+        self._number(start)
+
+    def _reach(self, nodes: dict[int, int], node: int, used: int) -> None:
+        if used <= self.limit[node] and used < nodes.get(node, 9):
+            nodes[node] = used
+            for child in self.children[node].values():  # a letter of the entry is missing
+                self._reach(nodes, child, used + 1)
 
     def _number(self, nodes: dict[int, int]) -> int:
         """The state of these nodes with their fewest edits; 0 is the start, -1 nothing."""
@@ -102,32 +121,24 @@ class LexiconAutomaton:
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-            whole = [(used, e) for node, used in key for e in self.ends[node] if not self.entries[e][1] and used <= edits_for(self.entries[e])]
-            self.accepts.append(min(whole, default=None))
-            self.stems.append(min((e for node, used in key if not used for e in self.ends[node] if self.entries[e][1]), default=None))
+            ended = sorted((used, e) for node, used in key for e in self.ends[node] if used <= self.entries[e].edits)
+            self.words.append([x for x in ended if not self.entries[x[1]].stem])
+            self.stems.append([x for x in ended if self.entries[x[1]].stem])
         return number
 
     def _move(self, state: int, letter: str) -> int:
         nodes: dict[int, int] = {}
-
-        def reach(node: int, used: int) -> None:
-            if used <= self.limit[node] and used < nodes.get(node, 9):
-                nodes[node] = used
-                for child in self.children[node].values():  # a letter of the entry is missing
-                    reach(child, used + 1)
-
         for node, used in self.states[state]:
             child = self.children[node].get(letter)
             if child is not None:
-                reach(child, used)
-            if node:
-                reach(node, used + 1)  # a letter too many
-                for child in self.children[node].values():  # another letter
-                    reach(child, used + 1)
+                self._reach(nodes, child, used)
+            self._reach(nodes, node, used + 1)  # a letter too many
+            for child in self.children[node].values():  # another letter
+                self._reach(nodes, child, used + 1)
         return self._number(nodes)
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """(entry, edits) of the best entry; for a stem, edits are 0."""
+    def found(self, word: str) -> Iterator[tuple[int, int]]:
+        """All (edits, entry) that the word meets; a stem may come with more edits than it needs, too."""
         if len(self.moves) > REMEMBERED_MOVES:
             self._reset()
         state = 0
@@ -137,12 +148,16 @@ class LexiconAutomaton:
             if to is None:
                 to = self.moves[key] = self._move(state, letter)
             if to < 0:
-                return None
+                return
             state = to
-            if self.stems[state] is not None:
-                return self.stems[state], 0
-        found = self.accepts[state]
-        return (found[1], found[0]) if found else None
+            yield from self.stems[state]
+        if word:
+            yield from self.words[state]
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """(entry, edits) of the entry with the fewest edits, words before stems; or None."""
+        best = min(((used, self.entries[e].stem, e) for used, e in self.found(word)), default=None)
+        return (best[2], best[0]) if best else None
 
 
 class Matcher:
@@ -164,10 +179,11 @@ class Matcher:
         for part in parts:
             found = self.automaton.match(part)
             if found:
-                entry, edits = found
+                number, edits = found
                 if edits and part in self.excluded:
                     continue
-                sort = "stem" if self.automaton.entries[entry][1] else "fuzzy" if edits else "exact"
+                stem = self.automaton.entries[number].stem
+                sort = ("fuzzy_stem" if stem else "fuzzy") if edits else "stem" if stem else "exact"
                 if not best or FEATURES.index(sort) < FEATURES.index(best):
                     best = sort
         return best
@@ -187,11 +203,11 @@ class Matcher:
             if sort:
                 terms.append(token)
                 if quotation(tokens, i):
-                    counts[3] += 1
+                    counts[QUOTED] += 1
                 else:
                     counts[FEATURES.index(sort)] += 1
                     near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
-                    counts[4] += any(t.lower().strip(".,;:!?" + QUOTES) in DIRECT for t in near)
+                    counts[DIRECT_AT] += any(t.lower().strip(".,;:!?" + QUOTES) in DIRECT for t in near)
         return counts, terms
 
 
@@ -257,7 +273,7 @@ def choose_lexicon(sample: DataFrame) -> tuple[tuple[Entry, ...], frozenset[str]
     n = {bool(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
     if not n_toxic or not n_clean:
-        return tuple((t, False) for t in GENERAL_TERMS), frozenset()
+        return tuple(map(entry, GENERAL_TERMS)), frozenset()
     words = materialize(word_counts(sample), "toxic-words")
     few = max(MIN_DOCS, math.ceil(MIN_SHARE * n_toxic))
     lift = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
@@ -270,18 +286,17 @@ def choose_lexicon(sample: DataFrame) -> tuple[tuple[Entry, ...], frozenset[str]
     # A stem that one word makes up is that word's.
     stems = stems.where(wanted & (F.col("most") < 0.6 * F.col("toxic"))).select("word", "toxic", F.lit(True).alias("stem"))
     both = single.unionByName(stems).orderBy(F.desc("toxic"), F.length("word"), "word", "stem").limit(MAX_CANDIDATES)
-    candidates = [(r["word"], r["stem"], r["toxic"]) for r in both.collect()]
-    entries = _cover(sample, [(w, s) for w, s, _ in candidates])
-    have = {w for w, _ in entries}
-    entries += [(t, False) for t in GENERAL_TERMS if t not in have]
-    return tuple(entries), _lookalikes(words, tuple(entries))
+    entries = _cover(sample, [entry(r["word"], r["stem"]) for r in both.collect()])
+    have = {e.text for e in entries if not e.stem}
+    entries += [entry(t) for t in GENERAL_TERMS if t not in have]
+    return _safe(words, entries)
 
 
 def _cover(sample: DataFrame, candidates: list[Entry]) -> list[Entry]:
     """Take entries, the widest first, while they tell toxic documents not yet told COVERS times."""
     own: dict[str, list[int]] = {}
-    for i, (text, stem) in enumerate(candidates):
-        own.setdefault(("s" if stem else "w") + text, []).append(i)
+    for i, e in enumerate(candidates):
+        own.setdefault(("s" if e.stem else "w") + e.text, []).append(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +316,7 @@ def _cover(sample: DataFrame, candidates: list[Entry]) -> list[Entry]:
     for d, found in enumerate(docs):
         for i in found:
             holders.setdefault(i, []).append(d)
-    told, entries = [0] * len(docs), []
+    told, chosen, entries = [0] * len(docs), [], []
     least = max(2, len(docs) // 500)
     left = set(holders)
     while left:
@@ -309,26 +324,49 @@ def _cover(sample: DataFrame, candidates: list[Entry]) -> list[Entry]:
         if gain < least:
             break
         left.discard(i)
-        text, stem = candidates[i]
-        # What a chosen stem matches needs no entry of its own.
-        if not any(s and text.startswith(t) for t, s in entries):
-            entries.append((text, stem))
+        own_entry = candidates[i]
+        above = [k for k in chosen if candidates[k].stem and own_entry.text.startswith(candidates[k].text)]
+        if not above:
             for d in holders[i]:
                 told[d] += 1
+        # Exact, what a chosen stem begins tells nothing new; an ordinary word of it is an entry for its misspellings.
+        if not above or (not own_entry.stem and len(holders[i]) >= MIN_PART * max(len(holders[k]) for k in above)):
+            chosen.append(i)
+            entries.append(own_entry)
     return entries
 
 
-def _lookalikes(words: DataFrame, entries: tuple[Entry, ...]) -> frozenset[str]:
-    """Words of clean documents within the edits of an entry (at most 10 000, the most frequent)."""
+def _safe(words: DataFrame, entries: list[Entry]) -> tuple[tuple[Entry, ...], frozenset[str]]:
+    """The entries, with fewer edits where clean words are too near; and the clean words near them
+    (at most MAX_LOOKALIKES, the most frequent), which are no misspellings."""
+    own = tuple(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = LexiconAutomaton(entries)
+        automaton = LexiconAutomaton(own)
         for batch in batches:
-            found = [(automaton.match(w) or (0, 0))[1] > 0 for w in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array(found, pa.bool_()))
-
-    near = map_batches(words.where("clean > 0 and clean >= toxic").select("word", "clean"), run, "word string, clean long")
-    return frozenset(r["word"] for r in near.orderBy(F.desc("clean"), "word").limit(10_000).collect())
+            rows: list[tuple[str, int, int, int]] = []
+            for word, clean in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                least: dict[int, int] = {}
+                for used, e in automaton.found(word):
+                    least[e] = min(used, least.get(e, used))
+                # A word that an entry matches as it is, is no misspelling of another.
+                if least and min(least.values()):
+                    rows += [(word, clean, e, used) for e, used in least.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["word", "clean", "entry", "used"])
+
+    near = map_batches(words.where("clean > 0 and clean >= toxic").select("word", "clean"), run, "word string, clean long, entry int, used int")
+    near = materialize(near, "toxic-near")
+    crowd: Counter = Counter()
+    for r in near.groupBy("entry", "used").count().collect():  # an entry has at most two rows
+        for edits in range(r["used"], 3):
+            crowd[r["entry"], edits] += r["count"]
+    safe = [e._replace(edits=max(k for k in range(e.edits + 1) if not k or crowd[i, k] <= MAX_NEAR)) for i, e in enumerate(own)]
+    allowed = F.array(*(F.lit(e.edits) for e in safe)) if safe else F.array().cast("array<int>")
+    left = near.where(F.col("used") <= F.get(allowed, F.col("entry"))).groupBy("word").agg(F.max("clean").alias("clean"))
+    lookalikes = frozenset(r["word"] for r in left.orderBy(F.desc("clean"), "word").limit(MAX_LOOKALIKES).collect())
+    release(near)
+    return tuple(safe), lookalikes
 
 
 def fit(features: np.ndarray, labels: np.ndarray, pull: float = 1.0) -> np.ndarray:
