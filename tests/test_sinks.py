@@ -9,7 +9,7 @@ from histlab.sources.importer import auto_import
 def test_json_and_csv_round_trip(spark, history10, tmp_path):
     assert exports.write_json(history10, tmp_path / "o.json") == 10
     data = json.loads((tmp_path / "o.json").read_text())
-    assert data["stats"]["total_visits"] == 278 and data["data"][7]["title"] == "re — Regular Expressions" and data["error"] is None
+    assert data["stats"]["total_visits"] == 316 and data["data"][7]["title"] == "numpy · PyPI" and data["error"] is None
     assert exports.write_csv(history10, tmp_path / "o.csv") == 10
     raw = (tmp_path / "o.csv").read_bytes()
     assert raw.startswith(b"\xef\xbb\xbfurl,title,visit_count") and raw.count(b"\r\n") == 11
@@ -28,7 +28,7 @@ def test_reports(history10, tmp_path):
     cats = rules.category_stats(rules.categorize(history10))
     exports.write_markdown(history10, tmp_path / "o.md", cats)
     text = (tmp_path / "o.md").read_text()
-    assert "| Search | 2 | 150 | mail.google.com |" in text and "**Categorized:** 9 | **Uncategorized:** 1" in text
+    assert "| Streaming | 2 | 74 | open.spotify.com |" in text and "**Categorized:** 8 | **Uncategorized:** 2" in text
     exports.write_html(history10, tmp_path / "o.html", cats)
     assert "sortTable" in (tmp_path / "o.html").read_text()
     assert pdf.write_pdf(history10, tmp_path / "o.pdf") == 2
