@@ -162,3 +162,8 @@ def posix_regex(pattern: str) -> str | None:
     except re.error:
         return None
     return "(?i)" + made
+
+
+def valid_utf8(c: Column) -> Column:
+    """Whether the bytes of a text are UTF-8."""
+    return F.is_valid_utf8(c)

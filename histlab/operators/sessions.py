@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import PLACE, RANGE, carried, in_ranges
+
 GAP_SECONDS = 1800
 
 
 def with_session(visits: DataFrame, key: str | None = "user_id", ts: str = "ts", tie: str = "event_id", gap: int = GAP_SECONDS) -> DataFrame:
     """``visits`` with session_no from 1 per key; a new one begins after more than ``gap`` seconds.
 
-    Without a key all rows are one sequence. That needs one ordered pass over everything, so a
-    key should be given wherever there is one.
+    Without a key all rows are one sequence: it is cut into ranges of time, and the last time
+    and the number of sessions are carried from range to range.
     """
-    of = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(ts, tie)
-    apart = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(of).cast("timestamp"))
-    starts = F.when(apart.isNull() | (apart > gap * 1_000_000), 1).otherwise(0)
-    return visits.withColumn("_starts", starts).withColumn("session_no", F.sum("_starts").over(of)).drop("_starts")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+
+    def starts(of) -> DataFrame:
+        before = F.lag(ts).over(of)
+        if not key:
+            before = F.coalesce(before, F.col("_last"))
+        apart = micros(F.col(ts)) - micros(before)
+        return rows.withColumn("_starts", F.when(apart.isNull() | (apart > gap * 1_000_000), 1).otherwise(0))
+
+    if key:
+        rows, of = visits, Window.partitionBy(key).orderBy(ts, tie)
+        return starts(of).withColumn("session_no", F.sum("_starts").over(of)).drop("_starts")
+    rows = carried(in_ranges(visits, [F.asc(ts), F.asc(tie)]), F.max(ts), F.max, "_last")
+    of = Window.partitionBy(RANGE).orderBy(PLACE)
+    out = carried(starts(of), F.sum("_starts"), F.sum, "_sessions")
+    number = F.coalesce("_sessions", F.lit(0)) + F.sum("_starts").over(of)
+    return out.withColumn("session_no", number).drop("_starts", "_sessions", "_last", RANGE, PLACE)
 
 
 def sessions(visits: DataFrame, key: str | None = "user_id", ts: str = "ts", tie: str = "event_id", gap: int = GAP_SECONDS) -> DataFrame:

@@ -58,6 +58,12 @@ def peaks(history: DataFrame) -> DataFrame:
     return h.crossJoin(d)
 
 
+def bars(histogram: DataFrame, value: str = "visits") -> DataFrame:
+    """``histogram`` with the bar of each row, in percent of the longest."""
+    most = histogram.agg(F.max(value).alias("_most"))  # one row
+    return histogram.crossJoin(F.broadcast(most)).withColumn("bar", F.expr(f"{value} * 100 div greatest(_most, 1)")).drop("_most")
+
+
 def analysis(classified: DataFrame, history: DataFrame) -> DataFrame:
     """One row of scores and insights; ``classified`` has category and visit_count per row of history."""
     visits = lambda *names: F.coalesce(F.sum(F.when(F.col("category").isin(*names), F.col("visit_count"))), F.lit(0)).cast("long")
@@ -77,6 +83,7 @@ def analysis(classified: DataFrame, history: DataFrame) -> DataFrame:
     row = row.withColumn("productivity_score", F.expr("100 * productive div (productive + distracting + 1)"))
     verdict = F.when(F.col("productivity_score") >= 70, "Highly focused browsing pattern.").when(F.col("productivity_score") >= 40, "Balanced between work and leisure.").otherwise("Leisure-heavy browsing detected.")
     days = F.array(*map(F.lit, DAYS))
+    # The wording of the insights, here and in the verdict above.
     return row.select(
         "entries", "productive", "distracting", "productivity_score", "dominant_category", "dominant_visits", "dominant_percent", "peak_hour", "quiet_hour", "peak_day",
         F.format_string("Your browsing is dominated by %s (%d%% of tracked visits).", "dominant_category", "dominant_percent").alias("insight_primary"),

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times, urls, web
-from ..functions.text import contains_nocase, glob_match
+from ..functions.text import contains_nocase, glob_match, valid_utf8
 from ..operators import domains, rules, search, sessions, sets, stats, tabs
+from ..operators.ranges import numbered
 from ..schema import EVENT_KINDS, history, read, shared_folder, visits
+from ..streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,8 +98,7 @@ def percent_codes(spark: SparkSession, d: str) -> DataFrame:
 def utf8_valid(spark: SparkSession, d: str) -> DataFrame:
     """Titles, and titles with a byte that is not UTF-8 behind."""
     raw = F.col("title").cast("binary")
-    out = _h(spark, d).select("pos", F.is_valid_utf8(F.col("title")).alias("valid"), F.is_valid_utf8(F.concat(raw, F.unhex(F.lit("C3"))).cast("string")).alias("valid_cut"))
-    return out
+    return _h(spark, d).select("pos", valid_utf8(F.col("title")).alias("valid"), valid_utf8(F.concat(raw, F.unhex(F.lit("C3"))).cast("string")).alias("valid_cut"))
 
 
 def epoch_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -167,15 +168,12 @@ def browsing_analysis(spark: SparkSession, d: str) -> DataFrame:
 
 def bar_scaling(spark: SparkSession, d: str) -> DataFrame:
     """Visits by hour with the bar that each gets, in percent of the longest."""
-    bars = stats.hourly_visits(_h(spark, d))
-    most = bars.agg(F.max("visits").alias("most"))
-    return bars.crossJoin(F.broadcast(most)).select("hour", "visits", F.expr("visits * 100 div greatest(most, 1)").alias("bar"))
+    return stats.bars(stats.hourly_visits(_h(spark, d)))
 
 
 def capture_counters(spark: SparkSession, d: str) -> DataFrame:
     """Visits in all, private and normal; errors of the synthetic stream stand for private ones."""
-    private = F.col("event_type") == "error"
-    return visits(spark, d).agg(F.count("*").alias("total"), F.count_if(private).alias("incognito"), F.count_if(~private).alias("normal"))
+    return capture.totals(visits(spark, d).withColumn("incognito", F.col("event_type") == "error"))
 
 
 # Sets, filters, limits.
@@ -220,24 +218,18 @@ def last_n_per_user(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_order(spark: SparkSession, d: str) -> DataFrame:
     """Rows with their rank in scan order: newest first, then by page."""
-    from pyspark.sql import Window
-
-    h = _h(spark, d)
-    return h.select("pos", F.row_number().over(Window.orderBy(F.desc("last_visit"), "pos")).cast("long").alias("rank"))
+    return numbered(_h(spark, d).select("pos", "last_visit"), [F.desc("last_visit"), F.asc("pos")]).select("pos", "rank")
 
 
 def capture_filter(spark: SparkSession, d: str) -> DataFrame:
     """URLs that are captured: some, none of the browser's own."""
     u = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("chrome://page/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 7 == 0, F.lit("about:blank")).otherwise(F.col("url"))
-    p = read(spark, d, "pages").select("page_id", u.alias("url"))
-    own = F.lit(False)
-    for prefix in ("chrome://", "chrome-extension://", "brave://", "about:"):
-        own = own | F.col("url").startswith(prefix)
-    return p.where(~own & (F.col("url") != ""))
+    p = read(spark, d, "pages").select("page_id", u.alias("url"), F.lit("complete").alias("status"))
+    return capture.captured(p).select("page_id", "url")
 
 
 def http_only(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").where(F.col("url").startswith("http")).select("page_id", "url")
+    return capture.requests(read(spark, d, "pages")).select("page_id", "url")
 
 
 def csv_row_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -358,10 +350,8 @@ def _search(text: str) -> Query:
 
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The first 100 matches in scan order, ranked."""
-    from pyspark.sql import Window
-
     found = search.search(_h(spark, d), "th OR docs", NOW, 100)
-    return found.select("pos", "score", F.row_number().over(Window.orderBy(F.desc("score"), "pos")).cast("long").alias("rank"))
+    return numbered(found.select("pos", "score"), [F.desc("score"), F.asc("pos")])
 
 
 # Sessions.

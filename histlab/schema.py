@@ -24,8 +24,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new place in the folder that all executors share (spark.checkpoint.dir), deleted at exit."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="histlab-")
+    """A new place in the folder that all executors share (spark.checkpoint.dir), deleted at exit.
+
+    Where the setting is absent, as in tests, a local session has a temporary folder; a cluster
+    has none that all executors share, so it must set it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="histlab-")
     path = f"{base.rstrip('/')}/histlab-{label}-{uuid.uuid4().hex}"
     _places.append((spark, path))
     return path

@@ -36,6 +36,11 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("incognito").count()
 
 
+def totals(events: DataFrame) -> DataFrame:
+    """One row: visits in all, in private windows and in normal ones."""
+    return events.agg(F.count("*").alias("total"), F.count_if("incognito").alias("incognito"), F.count_if(~F.col("incognito")).alias("normal"))
+
+
 def write_log(events: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Append to a durable log; a batch that fails is written again from the checkpoint."""
     writer = events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

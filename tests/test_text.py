@@ -42,3 +42,28 @@ def test_posix():
     assert posix_regex("[[:digit:]]+") == r"(?i)[\p{Digit}]+"
     assert posix_regex("(") is None and posix_regex("[a") is None and posix_regex("[[:nope:]]") is None
     assert posix_regex(r"[\w]") == r"(?i)[\x5cw]"
+
+
+def test_ranges_are_one_order(spark):
+    """Ranks and sessions over many ranges are those of one window over all rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from histlab.operators.ranges import in_ranges, numbered
+    from histlab.operators.sessions import with_session
+
+    rows = [(i, (i * 7919) % 3000 * 700 + (i % 5), None if i % 97 == 0 else i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "pos long, s long, x long").withColumn("ts", F.when(F.col("x").isNotNull(), F.timestamp_seconds("s"))).repartition(7)
+    order = [F.asc("ts"), F.asc("pos")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert in_ranges(df, order).select("_range").distinct().count() > 1
+        every = Window.orderBy(*order)
+        assert not numbered(df, order).withColumn("want", F.row_number().over(every)).where("rank <> want").count()
+        apart = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(every))
+        want = df.withColumn("b", F.when(apart.isNull() | (apart > 1_800_000_000), 1).otherwise(0)).withColumn("want", F.sum("b").over(every))
+        both = with_session(df, None, "ts", "pos").select("pos", "session_no").join(want.select("pos", "want"), "pos")
+        assert both.count() == 3000 and not both.where("session_no <> want").count()
+        assert numbered(df.limit(0), order).count() == 0 and with_session(df.limit(0), None, "ts", "pos").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
