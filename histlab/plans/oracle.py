@@ -283,6 +283,10 @@ def oracle_sql() -> dict[str, str]:
       first(user_id order by user_id, session_no) as most_tabs_user_id, first(session_no order by user_id, session_no) as most_tabs_session_no from g"""
     out["csv_import"] = f"with {H} select url, rtrim(title) as title, visit_count, typed_count, when_text as last_visit_time, date_trunc('second', last_visit) as last_visit from h"
     out["bookmark_import"] = f"with {H} select url, trim(title) as title, 1 as visit_count, when_text as last_visit_time from h"
+    out["json_export"] = f"with {H} select url, title, visit_count, typed_count, when_text as last_visit_time from h"
+    out["chromium_import"] = f"with {H} select url, title, visit_count, typed_count, when_text as last_visit_time from h where last_visit > {NOW} - interval 7 days"
+    out["firefox_import"] = f"""with {H} select h.url, h.title, h.visit_count, h.typed_count, strftime(max(v.ts), '%Y-%m-%dT%H:%M:%SZ') as last_visit_time
+from visits v join h on h.pos = v.page_id where v.ts >= {NOW} - interval 10 days group by h.pos, h.url, h.title, h.visit_count, h.typed_count"""
     out["json_import"] = f"with {H} select url, title, visit_count, typed_count, when_text as last_visit_time from h"
     out["stream_capture"] = "select event_id, 'https://a.com/' || event_type as url, user_id % 2 = 0 as incognito from events where event_type not in ('view', 'error')"
     return out

@@ -404,6 +404,42 @@ def csv_import(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, path).select("url", "title", "visit_count", "typed_count", "last_visit_time", "last_visit")
 
 
+def chromium_import(spark: SparkSession, d: str) -> DataFrame:
+    """The history as Chromium databases, scanned for the last 7 days; the filter runs in the databases."""
+    from ..sinks.databases import write_databases
+    from ..sources.sqlite_source import read_chromium
+
+    raw = F.unix_micros(F.col("last_visit").cast("timestamp")) + times.CHROMIUM_SHIFT * 1_000_000
+    paths = write_databases(_h(spark, d).withColumn("last_visit_time", raw).repartition(3), shared_folder(spark, "chromium"), "chromium")
+    cutoff = int((NOW - datetime(1970, 1, 1)).total_seconds()) - 7 * 86400 + times.CHROMIUM_SHIFT
+    return read_chromium(spark, paths, cutoff * 1_000_000).select("url", "title", "visit_count", "typed_count", "last_visit_time")
+
+
+def firefox_import(spark: SparkSession, d: str) -> DataFrame:
+    """The visits as Firefox databases; places with their last visit among those of the last 10 days."""
+    from ..sinks.databases import write_databases
+    from ..sources.sqlite_source import read_firefox
+
+    h = _h(spark, d).select(F.col("pos").alias("page_id"), "visit_count", F.col("typed_count").alias("typed"))
+    rows = visits(spark, d).join(h, "page_id").withColumnRenamed("page_id", "place_id").withColumn("visit_date", F.unix_micros(F.col("ts").cast("timestamp")))
+    paths = write_databases(rows.repartition(3, "place_id"), shared_folder(spark, "firefox"), "firefox")
+    cutoff = int((NOW - datetime(1970, 1, 1)).total_seconds()) - 10 * 86400
+    return read_firefox(spark, paths, cutoff * 1_000_000).select("url", "title", "visit_count", "typed_count", "last_visit_time")
+
+
+def json_export(spark: SparkSession, d: str) -> DataFrame:
+    """The history exported as one JSON file with its statistics, and imported again."""
+    from pathlib import Path
+
+    from ..sinks.exports import write_json
+    from ..sources.extension_json import read_json
+
+    folder = Path(shared_folder(spark, "export").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    write_json(_h(spark, d), folder / "history.json", NOW)
+    return read_json(spark, str(folder / "history.json")).select("url", "title", "visit_count", "typed_count", "last_visit_time")
+
+
 def bookmark_import(spark: SparkSession, d: str) -> DataFrame:
     """The history written as bookmark files and imported again."""
     from ..sources.bookmarks import read_bookmarks
@@ -465,7 +501,7 @@ def queries() -> dict[str, Query]:
         consecutive_dedup, last_n, last_n_per_user, scan_order, capture_filter, http_only, csv_row_filter, history_query, popup_search, metadata_asof,
         categorize, categorize_builtin, category_stats, substring_categories, substring_category_stats, glob_paths, domain_patterns, rules_table,
         domain_topk, host_topk, domain_rollup, domain_lookup, domain_aggregate, unique_domains, search_ranked, history_sessions, session_stats,
-        session_window_builtin, tab_state_machine, csv_import, bookmark_import, json_import, stream_capture, stream_tab_machine,
+        session_window_builtin, tab_state_machine, csv_import, chromium_import, firefox_import, json_export, bookmark_import, json_import, stream_capture, stream_tab_machine,
     ]
     out: dict[str, Query] = {f.__name__: f for f in own}
     out |= {name: _search(text) for name, text in SEARCHES.items()}

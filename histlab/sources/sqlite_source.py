@@ -54,8 +54,11 @@ class SqliteReader(DataSourceReader):
     def read(self, partition: FilePart) -> Iterator[tuple]:
         with tempfile.TemporaryDirectory() as folder:
             copy = Path(folder, "copy.db")
-            shutil.copyfile(partition.path, copy)
-            db = sqlite3.connect(f"file:{copy}?mode=ro", uri=True)
+            # What a running browser has not yet moved into the database lies in its log.
+            for log in ("", "-wal"):
+                if Path(partition.path + log).exists() or not log:
+                    shutil.copyfile(partition.path + log, f"{copy}{log}")
+            db = sqlite3.connect(copy)
             db.text_factory = lambda b: b.decode("utf-8", "replace")
             try:
                 select = ", ".join(f'"{c}"' for c in self.columns)

@@ -192,3 +192,20 @@ def test_wire(spark, tmp_path):
     path = tmp_path / "log.bin"
     path.write_bytes(data)
     assert wire.read_events(spark, str(path)).count() == 2 and list(wire.decode(b"")) == []
+
+
+def test_rows_in_the_log_of_a_database_are_read(spark, tmp_path):
+    """A browser that still runs has its last rows in the write-ahead log only."""
+    import sqlite3
+
+    from histlab.sources.sqlite_source import read_chromium
+
+    path = str(tmp_path / "History")
+    db = sqlite3.connect(path)
+    db.execute("pragma journal_mode = wal")
+    db.execute("create table urls (id integer primary key, url text, title text, visit_count integer, typed_count integer, last_visit_time integer)")
+    db.execute("insert into urls values (1, 'https://bakery.net/', 'Bakery', 3, 1, 13390000000000000)")
+    db.commit()
+    assert (tmp_path / "History-wal").stat().st_size > 0
+    assert [r["url"] for r in read_chromium(spark, [path]).collect()] == ["https://bakery.net/"]
+    db.close()
