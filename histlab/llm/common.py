@@ -28,12 +28,17 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where it is unset, as in tests, a local session has a temporary one; a cluster must set it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             base = have.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             base = tempfile.mkdtemp(prefix="histlab-")
             spark.sparkContext.setCheckpointDir(base)

@@ -31,5 +31,27 @@ from marked group by doc_id
 """
 
 
+OP6 = """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g
+  from words
+), sizes as (select doc_id, cast(len(g) as bigint) as n from sets),
+members as (select doc_id, unnest(g) as g from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from members a join members b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select s.a, s.b, s.c = x.n and s.c = y.n as same from shared s join sizes x on x.doc_id = s.a join sizes y on y.doc_id = s.b where 100 * s.c >= 90 * (x.n + y.n - s.c)
+), reach as (
+  select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b
+), least as (select a, min(b) as b from reach group by a),
+own as (select a, min(b) filter (where same) as b, count(*) filter (where same) as copies, count(*) as n from links group by a)
+select d.doc_id, d.n as n_shingles, least(d.doc_id, coalesce(r.b, d.doc_id)) as component_id, least(d.doc_id, coalesce(o.b, d.doc_id)) as class_id,
+       cast(coalesce(o.copies, 0) + 1 as bigint) as class_size, cast(coalesce(o.n, 0) as bigint) as n_links
+from sizes d left join least r on r.a = d.doc_id left join own o on o.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7, "op8_exact_dedup": OP8}
+    return {"op6_grouped_jaccard": OP6, "op7_line_dedup": OP7, "op8_exact_dedup": OP8}
