@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from .secrets import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, LOGIN, NEEDS, OPAQUE, PART, SCOPE
+
 OP8 = """
 with n as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t from documents
@@ -53,5 +57,43 @@ from sizes d left join least r on r.a = d.doc_id left join own o on o.a = d.doc_
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _op2() -> str:
+    """Every span of every kind, then each weak one against all others of its document, without bins."""
+    patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, LOGIN, OPAQUE, ENDPOINT), strict=True))
+    matches = " union all ".join(
+        f"select doc_id, {i} as k, {_quoted(kind)} as kind, {_quoted(PART[kind])} as part, regexp_extract_all(t, {_quoted(pattern)}) as found, regexp_split_to_array(t, {_quoted(pattern)}) as gaps from texts"
+        for i, (kind, pattern) in enumerate(patterns.items())
+    )
+    helps = " or ".join(f"w.kind = {_quoted(kind)} and o.part in ({', '.join(map(_quoted, needs))})" for kind, needs in NEEDS.items())
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents), matches as ({matches}),
+each as (
+  select doc_id, k, kind, part, unnest(found) as m, unnest(gaps[:len(found)]) as gap, generate_subscripts(found, 1) as i from matches where len(found) > 0
+), placed as (
+  select *, cast(sum(length(gap) + length(m)) over (partition by doc_id, k order by i) as bigint) as stop from each
+), spans as (
+  select doc_id, k, kind, part, stop - length(m) as start, stop from placed
+  where (kind <> 'assign' or length(regexp_extract(m, {_quoted("^" + ASSIGN)}, 2)) >= 6)
+    and (kind <> 'opaque' or (regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')))
+), base as (select * from spans where k < 3),
+added as (
+  select * from spans w where k >= 3
+    and exists (select 1 from spans o where o.doc_id = w.doc_id and ({helps}) and w.start - o.stop <= {SCOPE} and o.start - w.stop <= {SCOPE} and not (w.start < o.stop and o.start < w.stop))
+    and not exists (select 1 from base b where b.doc_id = w.doc_id and w.start < b.stop and b.start < w.stop)
+), listed as (
+  select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex, count(*) filter (where k >= 3) as n_linked,
+         string_agg(kind || ':' || start || ':' || stop, ',' order by start, k, stop) filter (where k < 3) as base_spans, string_agg(kind || ':' || start || ':' || stop, ',' order by start, k, stop) as spans
+  from (select * from base union all select * from added) group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base_spans, '')) as base_sha256,
+       coalesce(spans, '') as spans, coalesce(n_linked, 0) as n_linked
+from documents d left join listed l on l.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_grouped_jaccard": OP6, "op7_line_dedup": OP7, "op8_exact_dedup": OP8}
+    return {"op2_linked_secrets": _op2(), "op6_grouped_jaccard": OP6, "op7_line_dedup": OP7, "op8_exact_dedup": OP8}

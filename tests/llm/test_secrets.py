@@ -3,7 +3,10 @@ import random
 import re
 import time
 
+import duckdb
+
 from histlab.llm import secrets
+from histlab.llm.oracle import oracle_sql
 from histlab.llm.secrets import find_secrets
 
 KINDS = ("assign", "access", "hex")
@@ -111,6 +114,13 @@ def test_links_by_brute_force(spark):
         out = {r["doc_id"]: r["spans"] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), scope=scope).collect()}
         for i, text in rows:
             assert out[i] == all_spans(text, scope), text
+        if scope == secrets.SCOPE:  # the SQL of the query, too
+            duck = duckdb.connect()
+            duck.sql("create table documents (doc_id bigint, text varchar)")
+            duck.executemany("insert into documents values (?, ?)", rows)
+            sql = duck.sql(oracle_sql()["op2_linked_secrets"])
+            assert {r[sql.columns.index("doc_id")]: r[sql.columns.index("spans")] for r in sql.fetchall()} == out
+            assert any("login" in x for x in out.values())
 
 
 def test_long_texts(spark):
