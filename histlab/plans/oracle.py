@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.urls import TWO_PART_SUFFIXES
 from ..operators.rules import SUBSTRING_COLORS, SUBSTRING_RULES, TITLE_WORDS, Category, built_in
+from ..schema import EVENT_KINDS
 from .queries import categories
 
 NOW = "timestamp '2024-01-31 00:00:00'"
@@ -164,6 +165,56 @@ f as (select *, ({u}) as url_hit, ({t}) as title_hit, {count} as match_count fro
 select pos, url_hit, title_hit, match_count, {_score('url_hit', 'title_hit')} as score from f"""
 
 
+def _tabs() -> str:
+    """The tab machine: one step of recursion takes the next event of every user."""
+    kinds = " ".join(f"when '{event}' then '{kind}'" for event, kind in EVENT_KINDS.items())
+    gap = 1800 * 1_000_000
+    return f"""with recursive {VISITS.strip()}, e as (
+  select user_id, row_number() over (partition by user_id order by ts, event_id) as i, epoch_us(ts) as us, cast(event_id % 5 + 1 as bigint) as tab_id, coalesce(url, '') <> '' as page,
+         case event_type {kinds} end as kind from visits
+), run as (
+  select distinct user_id, cast(0 as bigint) as i, cast(0 as bigint) as session_no, cast(0 as bigint) as start_us, cast(0 as bigint) as end_us, cast(0 as bigint) as pages, cast([] as boolean[]) as tabs,
+         cast(-1 as bigint) as active, cast(0 as bigint) as most, cast(0 as bigint) as switches, 'ACTIVE' as state, cast([] as varchar[]) as moves from e
+  union all
+  select user_id, i, session_no, start_us, end_us, pages, tabs, active, most, switches, next_state, case when next_state <> state then list_append(moves, state || '>' || next_state) else moves end
+  from (
+    select *, case when full_up then state when us - end_us > {gap} then 'IDLE' when state = 'IDLE' and kind in ('OPEN', 'NAVIGATE') then 'ACTIVE'
+                   when state = 'ACTIVE' and switches = 0 and pages > 3 then 'DEEP_BROWSE' when state = 'ACTIVE' and switches > 5 and us - end_us < 60000000 then 'RAPID_FIRE'
+                   when state = 'DEEP_BROWSE' and kind = 'SWITCH' then 'ACTIVE' when state = 'RAPID_FIRE' and us - end_us > 30000000 then 'ACTIVE' else state end as next_state
+    from (
+      select user_id, i, us, kind, full_up, session_no, start_us, state, moves, tabs2 as tabs,
+             case when full_up then end_us else greatest(end_us, us) end as end_us,
+             pages + cast(page and not full_up and kind in ('OPEN', 'NAVIGATE') or kind = 'RELOAD' and live > 0 as int) as pages,
+             case when adds and not full_up then len(tabs2) when kind = 'CLOSE' and known and active = tab_id then coalesce(list_max(list_filter(range(1, len(tabs2) + 1), lambda k: tabs2[k])), -1)
+                  when kind = 'SWITCH' and known and tabs[tab_id] then tab_id else active end as active,
+             case when adds and not full_up then greatest(most, len(list_filter(tabs2, lambda o: o))) else most end as most,
+             switches + cast(kind = 'SWITCH' and known and tabs[tab_id] as int) as switches
+      from (
+        select *, adds and len(tabs) >= 64 as full_up, tab_id <= len(tabs) as known,
+               case when adds and len(tabs) < 64 then list_append(tabs, true) when kind = 'CLOSE' and tab_id <= len(tabs) then list_transform(tabs, lambda o, k: o and k <> tab_id) else tabs end as tabs2
+        from (
+          select *, kind = 'OPEN' or (kind = 'NAVIGATE' and live = 0) as adds
+          from (
+            select *, case when active > 0 and tabs[active] then active else 0 end as live
+            from (
+              select e.user_id, e.i, e.us, e.tab_id, e.page, e.kind, case when fresh then session_no + 1 else session_no end as session_no, case when fresh then e.us else start_us end as start_us,
+                     case when fresh then e.us else end_us end as end_us, case when fresh then 0 else pages end as pages, case when fresh then cast([] as boolean[]) else tabs end as tabs,
+                     case when fresh then -1 else active end as active, case when fresh then 0 else most end as most, case when fresh then 0 else switches end as switches,
+                     case when fresh then 'ACTIVE' else state end as state, case when fresh then cast([] as varchar[]) else moves end as moves
+              from (select r.*, r.session_no = 0 or n.us - r.end_us > {gap} as fresh from run r join e n on n.user_id = r.user_id and n.i = r.i + 1) r join e on e.user_id = r.user_id and e.i = r.i + 1
+            )
+          )
+        )
+      )
+    )
+  )
+), s as (select * from run where session_no > 0 qualify row_number() over (partition by user_id, session_no order by i desc) = 1),
+moved as (
+  select user_id, session_no, string_agg('"' || m || '":' || n, ',' order by place) as moves
+  from (select user_id, session_no, m, count(*) as n, min(place) as place from (select user_id, session_no, unnest(moves) as m, generate_subscripts(moves, 1) as place from s) group by 1, 2, 3) group by 1, 2
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["history_view"] = f"with {H} select pos, url, title, visits0 as visit_count, typed_count, last_visit from h0"
@@ -281,6 +332,9 @@ def oracle_sql() -> dict[str, str]:
     out["session_stats"] = f"""with {_sessions('events', 'user_id', 'ts', 'event_id', 43200)} select count(*) as total_sessions, cast(sum(page_count) as bigint) as total_pages, avg(minutes) as avg_minutes,
       avg(tab_count) as avg_tabs, max(minutes) as longest_minutes, first(user_id order by minutes desc, user_id, session_no) as longest_user_id, first(session_no order by minutes desc, user_id, session_no) as longest_session_no,
       first(user_id order by user_id, session_no) as most_tabs_user_id, first(session_no order by user_id, session_no) as most_tabs_session_no from g"""
+    out["tab_state_machine"] = f"""{_tabs()} select s.user_id, s.session_no, start_us, end_us, pages as page_count, len(tabs) as tab_count, most as max_concurrent_tabs, switches as tab_switches,
+      ((end_us - start_us) // 1000000) / 60 as minutes, state, '{{' || coalesce(m.moves, '') || '}}' as transitions from s left join moved m on m.user_id = s.user_id and m.session_no = s.session_no"""
+    out["stream_tab_machine"] = f"{_tabs()} select user_id, session_no, start_us, end_us, pages as page_count, state from s"
     out["csv_import"] = f"with {H} select url, rtrim(title) as title, visit_count, typed_count, when_text as last_visit_time, date_trunc('second', last_visit) as last_visit from h"
     out["bookmark_import"] = f"with {H} select url, trim(title) as title, 1 as visit_count, when_text as last_visit_time from h"
     out["json_export"] = f"with {H} select url, title, visit_count, typed_count, when_text as last_visit_time from h"

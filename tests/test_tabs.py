@@ -1,8 +1,13 @@
+import datetime
+import json
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from histlab.operators import tabs
+from histlab.plans.oracle import oracle_sql
+from histlab.schema import EVENT_KINDS
 
 BASE = 10**15
 
@@ -75,3 +80,29 @@ def test_batch(spark):
 def test_batch_with_no_events(spark):
     _, df = events(spark)
     assert tabs.tab_sessions(df.where("user_id < 0")).count() == 0
+
+
+def test_sql_of_the_machine():
+    """The SQL against the machine, on users whose sessions are long, and one with more tabs than there may be."""
+    rng = random.Random(8)
+    start, rows, at = datetime.datetime(2024, 1, 1), [], dict.fromkeys(range(12), 0)
+    for event_id in range(3000):
+        user = event_id % 12
+        at[user] += rng.choice([1, 5, 20, 400, 1800, 1801] if user else [1])
+        likely = [1, 9, 0.3, 1, 0.3] if user % 3 == 1 else [3, 2, 8, 1, 1] if user % 3 == 2 else [3, 2, 2, 1, 0.05 if user == 0 else 2]
+        rows.append((event_id, start + datetime.timedelta(seconds=at[user]), user, rng.choices(["click", "view", "signup", "purchase", "error"], likely)[0]))
+    pages = [(0, "http://a/", "<title>a</title>"), (1, "", ""), (2, "http://b/", "")]
+    duck = duckdb.connect()
+    duck.sql("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar)")
+    duck.sql("create table pages (page_id bigint, url varchar, html varchar)")
+    duck.executemany("insert into events values (?, ?, ?, ?)", rows)
+    duck.executemany("insert into pages values (?, ?, ?)", pages)
+    result = duck.sql(oracle_sql()["tab_state_machine"])
+    got = sorted(tuple(json.loads(r[result.columns.index(c)]) if c == "transitions" else r[result.columns.index(c)] for c in tabs.COLUMNS) for r in result.fetchall())
+    want = []
+    for user in at:
+        own = sorted((ts, i, kind) for i, ts, u, kind in rows if u == user)
+        events = ((EVENT_KINDS[kind], i % 5 + 1, pages[i % 3][1], "", (ts - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)) for ts, i, kind in own)
+        want += tabs.run_user(user, events)
+    assert got == sorted(want, key=lambda r: r[:2])
+    assert {"DEEP_BROWSE", "RAPID_FIRE"} <= {r[9] for r in want} and max(r[5] for r in want) == tabs.MAX_TABS
