@@ -8,6 +8,7 @@ the engine; only decoding and encoding of percent escapes needs Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ def _group(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(c, pattern, group)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the plan once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_ipv4(host: Column) -> Column:
     """Four decimal parts of at most 255; leading zeros are fine."""
     small = F.forall(F.split(host, r"\."), lambda p: F.coalesce(F.length(F.ltrim(p, F.lit("0"))) <= 3, F.lit(False)) & F.coalesce(p.try_cast("int") <= 255, F.lit(False)))
@@ -55,10 +61,7 @@ def parsed(url: Column) -> Column:
     marked = _group(url, SCHEME, 0)
     has_scheme, relative = marked != "", url.startswith("//")
 
-    # Later steps refer to earlier ones, so each is bound by transform over a one-element array.
-    def bind(value: Column, use) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
-
+    # Later steps refer to earlier ones, so each is bound.
     def after_scheme(tail: Column) -> Column:
         authority = _group(tail, r"^([^/?#]*)")
 
@@ -109,23 +112,31 @@ def with_url_parts(df, url: str = "url", prefix: str = ""):
 
 def domain_info(host: Column) -> Column:
     """Struct of full_host, registrable_domain, tld, subdomain; null where the host is empty."""
-    bracket = host.startswith("[")
-    full = F.when(bracket, F.when(host.contains("]"), _group(host, r"^\[([^\]]*)\]")).otherwise(host)).otherwise(ascii_lower(host))
-    whole = bracket | is_ipv4(ascii_lower(host))
-    labels = F.split(full, r"\.")
-    n = F.size(labels)
-
-    def tail(k: int) -> Column:
-        return F.array_join(F.slice(labels, -k, k), ".")
-
-    def head(k: int) -> Column:
-        return F.array_join(F.slice(labels, F.lit(1), n - k), ".")
-
-    two = F.when(n >= 3, tail(2).isin(*TWO_PART_SUFFIXES)).otherwise(F.lit(False))
-    domain = F.when(whole | (n <= 2), full).when(two & (n >= 4), tail(3)).when(two, full).otherwise(F.when(n >= 2, tail(2)))
-    sub = F.when(whole | (n <= 2), F.lit("")).when(two & (n >= 4), head(3)).when(two, F.lit("")).otherwise(F.when(n >= 2, head(2)))
-    tld = F.when(whole, F.lit("")).otherwise(F.element_at(labels, -1))
-    return F.when(F.length(host) > 0, F.struct(full.alias("full_host"), domain.alias("registrable_domain"), tld.alias("tld"), sub.alias("subdomain")))
+
+    def of_host(host: Column) -> Column:
+        bracket = host.startswith("[")
+        full = F.when(bracket, F.when(host.contains("]"), _group(host, r"^\[([^\]]*)\]")).otherwise(host)).otherwise(ascii_lower(host))
+        whole = bracket | is_ipv4(ascii_lower(host))
+        known = F.struct(full.alias("full"), whole.alias("whole"), F.split(full, r"\.").alias("labels"))
+        return F.when(F.length(host) > 0, bind(known, of_labels))
+
+    def of_labels(known: Column) -> Column:
+        full, whole, labels = known["full"], known["whole"], known["labels"]
+        n = F.size(labels)
+
+        def tail(k: int) -> Column:
+            return F.array_join(F.slice(labels, -k, k), ".")
+
+        def head(k: int) -> Column:
+            return F.array_join(F.slice(labels, F.lit(1), n - k), ".")
+
+        two = F.when(n >= 3, tail(2).isin(*TWO_PART_SUFFIXES)).otherwise(F.lit(False))
+        domain = F.when(whole | (n <= 2), full).when(two & (n >= 4), tail(3)).when(two, full).otherwise(F.when(n >= 2, tail(2)))
+        sub = F.when(whole | (n <= 2), F.lit("")).when(two & (n >= 4), head(3)).when(two, F.lit("")).otherwise(F.when(n >= 2, head(2)))
+        tld = F.when(whole, F.lit("")).otherwise(F.element_at(labels, -1))
+        return F.struct(full.alias("full_host"), domain.alias("registrable_domain"), tld.alias("tld"), sub.alias("subdomain"))
+
+    return bind(host, of_host)
 
 
 def authority_text(url: Column) -> Column:
