@@ -21,6 +21,9 @@ BROADCAST_BYTES, BROADCAST_MEMORY = 16 << 20, 64 << 20
 #: What a row takes in memory beside its columns.
 ROW_OVERHEAD = 16
 
+#: A table in few files is dealt out to all cores up to so many bytes on disk for each of them.
+SPREAD_BYTES = 128 << 20
+
 #: The six ASCII white-space characters that every contract of this package names.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -161,3 +164,18 @@ def give_back() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table documents, spread over all cores.
+
+    A row group is read by one task, so a small table in fewer files than there are cores would
+    keep most of them idle; its rows are dealt out evenly. What is sent is at most SPREAD_BYTES
+    for each core. All other tables are read as they lie, without a shuffle.
+    """
+    path = f"{sf_dir}/documents.parquet"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target)
+    cores = spark.sparkContext.defaultParallelism
+    docs = table(spark, sf_dir, "documents")
+    return docs.repartition(cores) if held.getFileCount() < cores and held.getLength() <= cores * SPREAD_BYTES else docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import documents, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,26 +20,26 @@ def tokenizer_file(name: str) -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("terms")
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("terms")
 
 
 def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
-    return find_secrets(table(spark, sf_dir, "documents"))
+    return find_secrets(documents(spark, sf_dir))
 
 
 def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
     from .toxicity import fold
 
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=fold("doc_id") == 0)
+    return quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"), held_out=fold("doc_id") == 0)
 
 
 def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE, find_pii
 
-    found = find_pii(table(spark, sf_dir, "documents"))
+    found = find_pii(documents(spark, sf_dir))
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -58,13 +58,13 @@ def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
+    return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
 def op6_grouped_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shingle_join import jaccard_join
 
-    return jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90, links=True)
+    return jaccard_join(documents(spark, sf_dir), width=3, percent=90, links=True)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import quality_rules
 
-    out = quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(documents(spark, sf_dir))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_share", "longest_repeat_bytes"
     )
@@ -95,7 +95,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import decode_ids, encode_texts
 
     ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    encoded = encode_texts(documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern)
     # The text is not needed any more; only ids and what they decode to are sent on.
     decoded = decode_ids(encoded.select("doc_id", "ids"), ranks, pattern)
     return decoded.select(
