@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histlab.llm.common import broadcast_if_small, materialize, release_under, table
+from histlab.llm.common import broadcast_if_small, documents, materialize, release_under, table
 from histlab.llm.line_dedup import line_dedup
 from histlab.llm.packing import pack
 from histlab.llm.pii import redact
@@ -81,7 +81,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
